@@ -8,6 +8,8 @@ count instead (quotient scale 15) and round once, half away from zero, like
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -43,4 +45,4 @@ def share_of_total(c) -> Column:
     """``ROUND(c * 100.0 / SUM(c) OVER (), 2)`` on an already grouped
     result: the window runs over the group rows only."""
     c = _col(c)
-    return F.round(c * F.lit(100.0) / F.sum(c).over(Window.partitionBy()), 2)
+    return F.round(c * F.lit(Decimal("100.0")) / F.sum(c).over(Window.partitionBy()), 2)
