@@ -46,9 +46,21 @@ def _mod(c: Column, m: int) -> Column:
     return c % F.lit(m)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that has fewer partitions than the cluster has
+    task slots (a file with one row group is one task however large). Hash
+    partitioning is deterministic, so a retried task rebuilds the same rows
+    (round-robin would need a local sort for that). A scan that is already
+    parallel is returned unchanged: no extra shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots, key)
+    return df
+
+
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+    lineitem = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey", "o_custkey", "o_orderdate")
     rows = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey, "inner")
@@ -57,15 +69,21 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
          + F.col("l_suppkey") * F.lit(131) + F.col("l_linenumber")).cast("bigint")
     rows = rows.select("*", k.alias("k"))
     k = F.col("k")
-    ck = _s(F.col("o_custkey"))
     od = F.col("o_orderdate")
-
-    yy = _s(F.when(_mod(k, 613) == 0, F.lit(2025) + _mod(k, 3))
-            .otherwise(F.lit(2022) + _mod(F.year(od), 3)))
-    mm = F.lpad(_s(F.month(od)), 2, "0")
-    dd = F.lpad(_s(F.least(F.dayofmonth(od), F.lit(28))), 2, "0")
-    month_name = F.date_format(od, "MMMM")
-    month_abbrev = F.date_format(od, "MMM")
+    # Pieces used by several rules are projected once (Catalyst keeps a
+    # projection whose non-trivial outputs are referenced more than once).
+    rows = rows.select(
+        "*",
+        _s(F.col("o_custkey")).alias("ck"),
+        _s(F.when(_mod(k, 613) == 0, F.lit(2025) + _mod(k, 3))
+           .otherwise(F.lit(2022) + _mod(F.year(od), 3))).alias("yy"),
+        F.lpad(_s(F.month(od)), 2, "0").alias("mm"),
+        F.lpad(_s(F.least(F.dayofmonth(od), F.lit(28))), 2, "0").alias("dd"),
+        F.date_format(od, "MMMM").alias("month_name"),
+        F.date_format(od, "MMM").alias("month_abbrev"),
+    )
+    ck, yy, mm, dd = F.col("ck"), F.col("yy"), F.col("mm"), F.col("dd")
+    month_name, month_abbrev = F.col("month_name"), F.col("month_abbrev")
     layout = _mod(k, 7)
     transaction_date = (
         F.when(_mod(k, 997) == 0, F.concat(yy, F.lit("-1-5")))
