@@ -18,7 +18,7 @@ def _parse(text: Column, pattern: str, on_error: str) -> Column:
     if on_error == "fail":
         return F.to_date(text, pattern)
     if on_error == "null":
-        return F.try_to_date(text, F.lit(pattern))
+        return F.try_to_date(text, pattern)
     raise ValueError(f"on_error must be 'fail' or 'null', not {on_error!r}")
 
 
