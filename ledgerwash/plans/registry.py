@@ -406,6 +406,16 @@ def _k1(t: Tables):
     return V.kpi_summary(t.fact)
 
 
+@query("k2_monthly_debit_line")
+def _k2a(t: Tables):
+    return V.monthly_debit_line(V.vw_monthly_summary(t.fact))
+
+
+@query("k2_merchant_volume")
+def _k2b(t: Tables):
+    return V.merchant_volume(V.vw_merchant_summary(t.fact))
+
+
 @query("k3_completion_rate")
 def _k3(t: Tables):
     return V.completion_rate(t.clean)

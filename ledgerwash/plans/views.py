@@ -160,6 +160,20 @@ def kpi_summary(fact: DataFrame, k: float = 3.0, min_history: int = 10) -> DataF
     )
 
 
+def monthly_debit_line(monthly_summary: DataFrame) -> DataFrame:
+    """K2 feed: the monthly debit line (from V3), oldest month first."""
+    return monthly_summary.select("year_month", "month_start", "total_debit_ngn").orderBy("month_start")
+
+
+def merchant_volume(merchant_summary: DataFrame) -> DataFrame:
+    """K2 feed: merchant dominance by debit volume (V5 rolled up over
+    categories; one row per merchant)."""
+    return (merchant_summary.groupBy("merchant_name")
+            .agg(F.sum("transaction_count").alias("transaction_count"),
+                 F.sum("total_spent_ngn").alias("total_spent_ngn"))
+            .orderBy(F.col("transaction_count").desc_nulls_first(), F.col("merchant_name").asc_nulls_last()))
+
+
 def completion_rate(clean: DataFrame) -> DataFrame:
     """K3: share of completed rows and its complement (rows counted as in
     the status breakdown: parsed date, an amount, no zero flag)."""
