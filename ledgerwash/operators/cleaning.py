@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, flags, text
@@ -24,22 +24,28 @@ from ..sources.schema import UNCATEGORISED, UNKNOWN_LOCATION, UNKNOWN_NAME, UNKN
 DEFAULT_DEDUP_ORDER = ("ingest_seq", "amount", "transaction_date", "k")
 
 
-def _order_cols(order) -> list[Column]:
-    return [(F.col(c) if isinstance(c, str) else c).asc_nulls_last() for c in order]
-
-
 def dedup_first(df: DataFrame, key: str = "transaction_id", order=DEFAULT_DEDUP_ORDER) -> DataFrame:
     """Keep the first arrival of every key value (NULL keys form one
     group, like GROUP BY).
 
-    ``row_number() == 1`` over a window lets Spark plan a WindowGroupLimit:
-    each map task keeps only its first row per key before the shuffle, so a
-    key that holds a large share of the rows is cut down map-side instead of
-    landing whole in one task.
+    Written as ``min`` over the row packed into a struct, ordered by the
+    ``order`` columns (NULLS LAST, via a null flag before each) and then by
+    every remaining column, so the kept row is a total-order choice and never
+    depends on task order. As an aggregate it gets a partial (map-side) step:
+    every map task keeps one row per key before the shuffle, so a key holding
+    a large share of the rows costs one row per map task in the exchange.
+    Column pruning cannot narrow the packed row, so every consumer of the
+    deduplicated rows in one plan shares the same exchange (Spark reuses it)
+    instead of shuffling again.
     """
-    w = Window.partitionBy(key).orderBy(*_order_cols(order))
-    rn = "__first_arrival_rank"
-    return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) == 1).drop(rn)
+    order = [c for c in order if c in df.columns and c != key]
+    rest = [c for c in df.columns if c != key]
+    parts = []
+    for i, c in enumerate(order):
+        parts += [F.col(c).isNull().alias(f"_null_{i}"), F.col(c).alias(f"_ord_{i}")]
+    packed = F.struct(*parts, *[F.col(c).alias(c) for c in rest])
+    first = df.groupBy(key).agg(F.min(packed).alias("_first"))
+    return first.select(key, *[F.col(f"_first.`{c}`").alias(c) for c in rest]).select(*df.columns)
 
 
 @dataclass(frozen=True)

@@ -6,11 +6,10 @@ Plan shapes chosen for scale:
   holding a large share of the rows costs one row per map task in the
   shuffle.
 * Customer attributes are attached *after* aggregation (``customer_id`` is the
-  dimension's key, so one row per customer is enough), and for top-k reports
-  only the k winning ids are broadcast to filter the dimension. A
-  per-customer aggregate is joined without a hint: Spark broadcasts the
-  dimension only under its size threshold and otherwise plans a sort-merge
-  join (AQE splits skewed partitions).
+  dimension's key, so one row per customer is enough; for top-k reports only
+  the k result rows cross the join). The join has no hint: Spark broadcasts
+  the dimension only under its size threshold and otherwise plans a
+  sort-merge join.
 * Shares of a total (``SUM(x) OVER ()``) run over the grouped rows only.
 * Top-k uses ``orderBy().limit()`` (TakeOrderedAndProject: every task keeps
   k rows), with a full tie-break so the k rows are deterministic.
@@ -59,18 +58,17 @@ def spend_filter(require_date: bool = True, exclude_future_note: bool = False,
     return cond
 
 
-def attach_customers(small: DataFrame, customers: DataFrame, columns, bounded: bool) -> DataFrame:
-    """Left-join customer attributes to ``small`` (keyed by customer_id).
+def attach_customers(small: DataFrame, customers: DataFrame, columns) -> DataFrame:
+    """Left-join customer attributes to ``small`` (keyed by customer_id;
+    one row per customer, or a top-k result).
 
-    ``bounded=True`` means ``small`` has a proven small row count (a top-k
-    result): its ids are broadcast to semi-filter the dimension, so the
-    dimension is scanned once and never shuffled. Otherwise the join is left
-    to Spark's size-checked strategy choice.
+    The input is referenced once, so the plan behind it runs once. Spark
+    broadcasts the dimension when it is under the size threshold; otherwise a
+    sort-merge join shuffles the dimension once (``small`` is already
+    aggregated, so its side is cheap), which at scale is a small cost next to
+    the fact.
     """
-    dim = customers.select("customer_id", *columns)
-    if bounded:
-        dim = dim.join(F.broadcast(small.select("customer_id").distinct()), "customer_id", "left_semi")
-    return small.join(dim, "customer_id", "left")
+    return small.join(customers.select("customer_id", *columns), "customer_id", "left")
 
 
 def _top(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
@@ -120,7 +118,7 @@ def top_customers(clean: DataFrame, customers: DataFrame, n: int = 10) -> DataFr
                          avg2(AMT).alias("avg_transaction_ngn"), F.min(DT).alias("first_transaction"),
                          F.max(DT).alias("last_transaction")))
     top = _top(per_customer, n, F.col("total_spent_ngn").desc_nulls_first(), F.col("customer_id").asc_nulls_last())
-    out = attach_customers(top, customers, ["full_name", "city", "account_type", "credit_score"], bounded=n is not None)
+    out = attach_customers(top, customers, ["full_name", "city", "account_type", "credit_score"])
     return (out.orderBy(F.col("total_spent_ngn").desc_nulls_first(), F.col("customer_id").asc_nulls_last())
             .select("customer_id", "full_name", "city", "account_type", "credit_score", "transaction_count",
                     "total_spent_ngn", "avg_transaction_ngn", "first_transaction", "last_transaction"))
@@ -197,7 +195,7 @@ def running_totals(clean: DataFrame, customers: DataFrame, top: int = 5, n: int
     out = rows.select("*", F.round(F.sum(AMT).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 2)
                       .alias("running_total_ngn"),
                       F.row_number().over(w).cast("bigint").alias("transaction_number"))
-    out = attach_customers(out, customers, ["full_name"], bounded=n is not None)
+    out = attach_customers(out, customers, ["full_name"])
     return (out.orderBy(*order)
             .select("customer_id", "full_name", DT, "merchant_name", AMT, "running_total_ngn", "transaction_number"))
 
@@ -240,7 +238,7 @@ def sigma_outliers(clean: DataFrame, customers: DataFrame, k: float = 3.0, min_h
                        "avg_spend", "stddev_spend", F.round(score, 2).alias("sigma_score"), "status"))
     order = [F.col("sigma_score").desc_nulls_first(), F.col("transaction_id").asc_nulls_last()]
     top = _top(flagged, n, *order)
-    out = attach_customers(top, customers, ["full_name", "city"], bounded=n is not None)
+    out = attach_customers(top, customers, ["full_name", "city"])
     return (out.orderBy(*order)
             .select("transaction_id", "customer_id", "full_name", "city", DT, "merchant_name", "category",
                     AMT, "avg_spend", "stddev_spend", "sigma_score", "status"))

@@ -78,8 +78,7 @@ def vw_customer_summary(fact: DataFrame, customers: DataFrame) -> DataFrame:
               F.max("transaction_date").alias("last_transaction"),
               F.count_distinct("category").alias("categories_used"),
               F.count_distinct("merchant_name").alias("merchants_used")))
-    out = attach_customers(g, customers, ["full_name", "city", "account_type", "credit_score", "join_date"],
-                           bounded=False)
+    out = attach_customers(g, customers, ["full_name", "city", "account_type", "credit_score", "join_date"])
     return out.select("customer_id", "full_name", "city", "account_type", "credit_score", "join_date",
                       "total_transactions", "total_debit_ngn", "total_credit_ngn", "avg_debit_ngn",
                       "first_transaction", "last_transaction", "categories_used", "merchants_used")

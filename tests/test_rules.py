@@ -167,12 +167,20 @@ def test_no_python_udfs_in_cleaning_plan(tables):
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
 
 
-def test_dedup_plan_has_one_exchange_and_map_side_limit(tables):
+def test_dedup_plan_has_one_exchange_and_map_side_step(tables):
     plan = tables.dedup._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan
+    assert "partial_min" in plan
     assert plan.count("Exchange hashpartitioning(transaction_id") == 1
 
 
+def test_two_branch_report_reuses_the_dedup_exchange(tables):
+    from ledgerwash.plans import views as V
+    df = V.vw_flagged_transactions(tables.fact)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+
+
 def test_money_helpers_are_exact(spark):
     from ledgerwash.functions.money import avg2
     df = spark.createDataFrame([(Decimal("0.01"),), (Decimal("0.02"),), (Decimal("0.02"),)], "a decimal(15,2)")
