@@ -43,6 +43,17 @@ def clean_amount(amount, notes, null_notes: str = "sql", on_error: str = "fail")
             .otherwise(F.lit(None).cast(AMOUNT_TYPE)))
 
 
+def takes_amount_cast(amount, notes, null_notes: str = "sql") -> Column:
+    """True where C13 casts the text (the row is not zero-flagged and its
+    text is neither NULL nor ``N/A``): a NULL ``amount_clean`` there means
+    the strict cast would have raised."""
+    n = _col(notes)
+    if null_notes == "as_empty":
+        n = F.coalesce(n, F.lit(""))
+    text = F.nullif(F.trim(_col(amount)), F.lit(NA_AMOUNT))
+    return F.coalesce(~n.like(ZERO_MARK), F.lit(False)) & text.isNotNull()
+
+
 def fix_reversal_sign(amount_clean, status) -> Column:
     """C14: a reversed row with a positive amount becomes negative."""
     a = _col(amount_clean)

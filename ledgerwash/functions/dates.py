@@ -39,6 +39,40 @@ def parse_date_text(date_text, on_error: str = "fail", branches=DATE_BRANCHES) -
     return F.coalesce(*parsed)
 
 
+def _branch_conditions(d: Column, branches=DATE_BRANCHES):
+    out = []
+    for _name, regex, sep, part, pattern, drop_commas in branches:
+        cond = d.rlike(regex)
+        if sep is not None:
+            cond = cond & (F.split_part(d, F.lit(sep), F.lit(part)).try_cast("int") > 12)
+        text = F.replace(d, F.lit(","), F.lit("")) if drop_commas else d
+        out.append((cond, text, pattern))
+    return out
+
+
+def date_branch(date_text, branches=DATE_BRANCHES) -> Column:
+    """1-based number of the first branch whose pattern (and guard) matches
+    the text, 0 for none. The layouts are mutually exclusive and a later
+    branch never parses a text an earlier matching branch rejects, so
+    parsing with this one branch equals the ordered ``coalesce``."""
+    d = _col(date_text)
+    expr = None
+    for i, (cond, _text, _pattern) in enumerate(_branch_conditions(d, branches), start=1):
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return expr.otherwise(F.lit(0))
+
+
+def date_from_branch(date_text, branch, branches=DATE_BRANCHES) -> Column:
+    """Parse the text with the layout of branch number ``branch`` (a column
+    from ``date_branch``); NULL for 0 or when that date does not exist."""
+    d, b = _col(date_text), _col(branch)
+    expr = None
+    for i, (_cond, text, pattern) in enumerate(_branch_conditions(d, branches), start=1):
+        value = F.try_to_date(text, pattern)
+        expr = F.when(b == i, value) if expr is None else expr.when(b == i, value)
+    return expr
+
+
 def clean_date(date_text, notes, on_error: str = "fail") -> Column:
     """Future-flagged rows keep a NULL date."""
     return F.when(not_future_flagged(notes), parse_date_text(date_text, on_error))

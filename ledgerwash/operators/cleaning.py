@@ -1,11 +1,23 @@
 """The cleaning pipeline (§2.B) as one ordered list of ``DataFrame ->
 DataFrame`` steps.
 
-The order is part of the semantics: currency is trimmed before the naira
-sign is mapped, status is lower-cased before blanks are filled and before
-the reversal rule reads it, and deduplication comes first. Step C1 is the
-only shuffle (by ``transaction_id``); everything after it is row-wise and
-Catalyst collapses it into a few projections inside one codegen stage.
+The order of C2–C15 is part of the semantics: currency is trimmed before the
+naira sign is mapped, status is lower-cased before blanks are filled and
+before the reversal rule reads it.
+
+C1 (keep the first arrival of every id) is the only shuffle. The row-wise
+steps C2–C15 depend on nothing but the row, and the arrival order reads only
+columns they leave untouched, so cleaning every row and then keeping the
+first arrival gives the rows of the source order (dedup first, then clean).
+Running them map-side, below the dedup aggregate, matters for every query:
+Catalyst pushes a filter on a derived column (``amount_clean``, ``notes``)
+down through projections by inlining their expressions, so a filter placed
+above a chain of cleaning projections would recompute the whole chain, many
+times over. Above the aggregate the filter reads plain columns.
+
+Strict casts (``on_error="fail"``) keep the source semantics exactly: the
+map-side cast is a ``try_`` cast plus an error flag, and only a row that
+survives deduplication with its flag set raises.
 """
 
 from __future__ import annotations
@@ -56,6 +68,20 @@ class Step:
 
 
 def _row_steps(null_notes: str, on_error: str) -> list[Step]:
+    strict = on_error == "fail"
+    if on_error not in ("fail", "null"):
+        raise ValueError(f"on_error must be 'fail' or 'null', not {on_error!r}")
+
+    def c13():
+        out = {"amount_clean": amounts.clean_amount("amount", "notes", null_notes, "null")}
+        if strict:
+            out[AMOUNT_CAST] = amounts.takes_amount_cast("amount", "notes", null_notes)
+        return out
+
+    def c15():
+        branch = F.when(flags.not_future_flagged("notes"), dates.date_branch("transaction_date")).otherwise(F.lit(0))
+        return {DATE_BRANCH: branch}
+
     return [
         Step("C2", "fill_null_customer_name", lambda: {"customer_name": text.fill_null("customer_name", UNKNOWN_NAME)}),
         Step("C3", "fill_null_category", lambda: {"category": text.fill_null("category", UNCATEGORISED)}),
@@ -72,46 +98,82 @@ def _row_steps(null_notes: str, on_error: str) -> list[Step]:
         Step("C12", "flag_zero_amount", lambda: {"notes": flags.flag_zero_amount("notes", "amount")}),
         Step("C12a", "flag_future_prefix", lambda: {"notes": flags.flag_future_prefix("notes", "transaction_date")}),
         Step("C12b", "flag_future_dates", lambda: {"notes": flags.flag_future_dates("notes", "transaction_date")}),
-        Step("C13", "clean_amount", lambda: {"amount_clean": amounts.clean_amount("amount", "notes", null_notes, on_error)}),
+        Step("C13", "clean_amount", c13),
         Step("C14", "fix_reversal_sign", lambda: {"amount_clean": amounts.fix_reversal_sign("amount_clean", "status")}),
-        Step("C15", "clean_date", lambda: {"transaction_date_clean": dates.clean_date("transaction_date", "notes", on_error)}),
+        Step("C15", "clean_date", c15),
     ]
 
 
+AMOUNT_CAST = "_amount_cast"
+DATE_BRANCH = "_date_branch"
+AMOUNT_ERROR = "_amount_cast_error"
+DATE_ERROR = "_date_parse_error"
+
+
+def _finish_row_steps(df: DataFrame, strict: bool) -> DataFrame:
+    """Parse the date with the branch found in C15 and, for strict casts,
+    turn the helper columns into error flags (each input is read once)."""
+    if DATE_BRANCH in df.columns:
+        df = df.withColumn("transaction_date_clean", dates.date_from_branch("transaction_date", DATE_BRANCH))
+        if strict:
+            df = df.withColumn(DATE_ERROR, (F.col(DATE_BRANCH) > 0) & F.col("transaction_date_clean").isNull())
+        df = df.drop(DATE_BRANCH)
+    if AMOUNT_CAST in df.columns:
+        df = df.withColumn(AMOUNT_ERROR, F.col(AMOUNT_CAST) & F.col("amount_clean").isNull()).drop(AMOUNT_CAST)
+    return df
 STEP_IDS = ("C1",) + tuple(s.id for s in _row_steps("sql", "fail"))
 
 
+def _raise_on_errors(df: DataFrame) -> DataFrame:
+    """Raise for a kept row whose strict cast would have failed (evaluated
+    wherever the typed column is used)."""
+    updates = {}
+    if AMOUNT_ERROR in df.columns:
+        msg = F.concat(F.lit("amount is not a decimal(15,2): "), F.coalesce(F.col("amount"), F.lit("NULL")))
+        updates["amount_clean"] = F.when(F.col(AMOUNT_ERROR), F.raise_error(msg)).otherwise(F.col("amount_clean"))
+    if DATE_ERROR in df.columns:
+        msg = F.concat(F.lit("transaction_date does not exist: "), F.coalesce(F.col("transaction_date"), F.lit("NULL")))
+        updates["transaction_date_clean"] = (F.when(F.col(DATE_ERROR), F.raise_error(msg))
+                                             .otherwise(F.col("transaction_date_clean")))
+    if not updates:
+        return df
+    return df.withColumns(updates).drop(AMOUNT_ERROR, DATE_ERROR)
+
+
 def clean_transactions(raw: DataFrame, *, null_notes: str = "sql", on_error: str = "fail",
                        upto: str | None = None, dedup: bool = True,
                        dedup_order=DEFAULT_DEDUP_ORDER) -> DataFrame:
     """Run the pipeline on the raw fact, through step ``upto`` (inclusive;
     default: all). The result keeps every raw column (repaired in place) and
     adds ``amount_clean decimal(15,2)`` and ``transaction_date_clean date``
-    once their steps have run.
+    once their steps have run; one row per ``transaction_id`` (the first
+    arrival) unless ``dedup=False``.
 
     ``null_notes``: ``"sql"`` (exact three-valued behaviour of the source
-    rules) or ``"as_empty"``. ``on_error``: ``"fail"`` (strict casts raise on
-    junk) or ``"null"``.
+    rules) or ``"as_empty"``. ``on_error``: ``"fail"`` (a kept row whose
+    amount or date cannot be cast raises) or ``"null"``.
     """
     if upto is not None and upto not in STEP_IDS:
         raise ValueError(f"unknown step {upto!r}; expected one of {STEP_IDS}")
-    df = dedup_first(raw, "transaction_id", dedup_order) if dedup else raw
-    if upto == "C1":
-        return df
-    for step in _row_steps(null_notes, on_error):
-        df = df.withColumns(step.build())
-        if step.id == upto:
-            break
-    return df
+    df = raw
+    if upto != "C1":
+        for step in _row_steps(null_notes, on_error):
+            df = df.withColumns(step.build())
+            if step.id == upto:
+                break
+        df = _finish_row_steps(df, on_error == "fail")
+    if dedup:
+        df = dedup_first(df, "transaction_id", dedup_order)
+    return _raise_on_errors(df)
 
 
 def apply_step(df: DataFrame, step_id: str, *, null_notes: str = "sql", on_error: str = "fail") -> DataFrame:
-    """Apply one row-wise step alone (for inspection and tests)."""
+    """Apply one step alone (for inspection and tests)."""
     if step_id == "C1":
         return dedup_first(df)
     for step in _row_steps(null_notes, on_error):
         if step.id == step_id:
-            return df.withColumns(step.build())
+            return _raise_on_errors(_finish_row_steps(df.withColumns(step.build()), on_error == "fail"))
     raise ValueError(f"unknown step {step_id!r}")
 
 

@@ -20,6 +20,10 @@ BASE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Keep every generated method under HotSpot's 8000-byte JIT limit (the
+    # Spark docs recommend this on HotSpot): the cleaning projection fused
+    # with a scan can outgrow it, and an uncompiled method runs interpreted.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -192,3 +192,31 @@ def test_money_helpers_are_exact(spark):
     assert spark.createDataFrame([(Decimal("-0.01"),), (Decimal("-0.02"),)], "a decimal(15,2)") \
         .agg(avg2("a")).collect()[0][0] == Decimal("-0.02")
     assert F is not None
+
+
+def test_strict_cast_fails_only_for_kept_rows(spark):
+    # The junk copy arrives second, so dedup drops it: no error.
+    raw = tx(spark, dict(transaction_id="A", ingest_seq=1, amount="5.00", transaction_date="2024-01-02"),
+             dict(transaction_id="A", ingest_seq=2, amount="1,000", transaction_date="31/02/2024"))
+    rows = clean_transactions(raw).collect()
+    assert [(r.amount_clean, str(r.transaction_date_clean)) for r in rows] == [(Decimal("5.00"), "2024-01-02")]
+    # A kept junk amount raises where the typed column is used.
+    bad = tx(spark, dict(transaction_id="B", amount="1,000"))
+    with pytest.raises(PySparkException):
+        clean_transactions(bad).select("amount_clean").collect()
+    assert clean_transactions(bad, on_error="null").select("amount_clean").collect()[0][0] is None
+    bad_date = tx(spark, dict(transaction_id="C", transaction_date="31/02/2024"))
+    with pytest.raises(PySparkException):
+        clean_transactions(bad_date).select("transaction_date_clean").collect()
+
+
+def test_analysis_filters_stay_above_the_dedup_aggregate(tables):
+    from ledgerwash.plans import analysis as Q
+    plan = Q.spend_by_category(tables.clean)._jdf.queryExecution().optimizedPlan().toString()
+    # The filter on derived columns must not be pushed into the cleaning
+    # expressions below the dedup aggregate (it would recompute them).
+    lines = plan.split("\n")
+    filt = next(i for i, l in enumerate(lines) if "Filter" in l and "amount_clean" in l)
+    agg = next(i for i, l in enumerate(lines) if "Aggregate [transaction_id" in l)
+    assert filt < agg
+    assert "ZERO AMOUNT — EXCLUDE" not in lines[filt]
