@@ -43,6 +43,8 @@ def ratio2(numerator, denominator) -> Column:
 
 def share_of_total(c) -> Column:
     """``ROUND(c * 100.0 / SUM(c) OVER (), 2)`` on an already grouped
-    result: the window runs over the group rows only."""
+    result: the window runs over the group rows only. A zero grand total
+    gives NULL shares (not a division error)."""
     c = _col(c)
-    return F.round(c * F.lit(Decimal("100.0")) / F.sum(c).over(Window.partitionBy()), 2)
+    total = F.sum(c).over(Window.partitionBy())
+    return F.round(c * F.lit(Decimal("100.0")) / F.nullif(total, F.lit(0)), 2)
