@@ -52,8 +52,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     partitioning is deterministic, so a retried task rebuilds the same rows
     (round-robin would need a local sort for that). A scan that is already
     parallel is returned unchanged: no extra shuffle."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. Spark Connect): leave it to Spark
+        return df
+    if parts < slots:
         return df.repartition(slots, key)
     return df
 
