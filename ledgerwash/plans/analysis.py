@@ -183,23 +183,52 @@ def running_totals(clean: DataFrame, customers: DataFrame, top: int = 5, n: int
     (customer, date, id) order, and those come before it in the output
     order too; so with a row limit the ``n`` first rows are taken with a
     distributed top-k first and the window runs on those ``n`` rows. Without
-    a limit the window runs per customer on all rows.
+    a limit see ``running_totals_all``.
     """
     ids = top_spender_ids(clean, top)
     rows = (clean.filter(spend_filter()).join(F.broadcast(ids), "customer_id", "left_semi")
             .select("customer_id", "transaction_id", DT, "merchant_name", AMT))
     order = [F.col("customer_id").asc_nulls_last(), F.col(DT).asc_nulls_last(), F.col("transaction_id").asc_nulls_last()]
-    if n is not None:
+    if n is None:
+        out = running_totals_all(rows)
+    else:
         rows = rows.orderBy(*order).limit(n)
-    w = Window.partitionBy("customer_id").orderBy(F.col(DT).asc_nulls_last(), F.col("transaction_id").asc_nulls_last())
-    out = rows.select("*", F.round(F.sum(AMT).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 2)
-                      .alias("running_total_ngn"),
-                      F.row_number().over(w).cast("bigint").alias("transaction_number"))
+        w = Window.partitionBy("customer_id").orderBy(F.col(DT).asc_nulls_last(), F.col("transaction_id").asc_nulls_last())
+        out = rows.select("*", F.round(F.sum(AMT).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), 2)
+                          .alias("running_total_ngn"),
+                          F.row_number().over(w).cast("bigint").alias("transaction_number"))
     out = attach_customers(out, customers, ["full_name"])
     return (out.orderBy(*order)
             .select("customer_id", "full_name", DT, "merchant_name", AMT, "running_total_ngn", "transaction_number"))
 
 
+def running_totals_all(rows: DataFrame) -> DataFrame:
+    """Running total and sequence number over every row, in (customer,
+    date, id) order, without sending a customer's whole history to one task.
+
+    Two levels: per (customer, day) totals get the sum and count of all
+    earlier days with a window over days (bounded by the number of distinct
+    days, not rows); each row then adds its running position inside its own
+    (customer, day), a window partitioned by (customer, day) that shares the
+    join's partitioning. A customer with a large share of the rows is spread
+    over its days.
+    """
+    day_key = ["customer_id", DT]
+    daily = rows.groupBy(*day_key).agg(F.sum(AMT).alias("_day_sum"), F.count(F.lit(1)).alias("_day_n"))
+    before = Window.partitionBy("customer_id").orderBy(F.col(DT).asc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, -1)
+    daily = daily.select(*day_key,
+                         F.coalesce(F.sum("_day_sum").over(before), F.lit(0)).alias("_before_sum"),
+                         F.coalesce(F.sum("_day_n").over(before), F.lit(0)).alias("_before_n"))
+    within = Window.partitionBy(*day_key).orderBy(F.col("transaction_id").asc_nulls_last())
+    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = rows.join(daily, day_key, "inner")
+    return joined.select(
+        "customer_id", "transaction_id", DT, "merchant_name", AMT,
+        F.round(F.col("_before_sum") + F.sum(AMT).over(running), 2).alias("running_total_ngn"),
+        (F.col("_before_n") + F.row_number().over(within)).cast("bigint").alias("transaction_number"))
+
+
 # -- Q8 ---------------------------------------------------------------------------
 
 def customer_baseline(clean: DataFrame, min_history: int = 10, rounded: bool = True) -> DataFrame:
