@@ -169,6 +169,12 @@ def _d01(t: Tables):
     return D.duplicate_keys(t.raw, "transaction_id", n=20)
 
 
+@query("d01_duplicate_keys_top10")
+def _d01b(t: Tables):
+    """D1, second form: the ten most repeated ids."""
+    return D.duplicate_keys(t.raw, "transaction_id", n=10)
+
+
 @query("d02_duplicate_row_count")
 def _d02(t: Tables):
     return D.duplicate_row_count(t.raw)
