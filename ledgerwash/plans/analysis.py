@@ -211,7 +211,7 @@ def running_totals_all(rows: DataFrame) -> DataFrame:
     days, not rows); each row then adds its running position inside its own
     (customer, day), a window partitioned by (customer, day) that shares the
     join's partitioning. A customer with a large share of the rows is spread
-    over its days.
+    over its days. Rows need a customer and a date (as Q7's filter ensures).
     """
     day_key = ["customer_id", DT]
     daily = rows.groupBy(*day_key).agg(F.sum(AMT).alias("_day_sum"), F.count(F.lit(1)).alias("_day_n"))
