@@ -22,24 +22,10 @@ def _parse(text: Column, pattern: str, on_error: str) -> Column:
     raise ValueError(f"on_error must be 'fail' or 'null', not {on_error!r}")
 
 
-def parse_date_text(date_text, on_error: str = "fail", branches=DATE_BRANCHES) -> Column:
-    """The raw text (not trimmed) to DATE. Unmatched layouts give NULL
-    silently; a matched layout with an impossible date raises (``fail``) or
-    gives NULL (``null``). Branches are lazy: a parse runs only for rows its
-    guard accepts."""
-    d = _col(date_text)
-    parsed = []
-    for _name, regex, sep, part, pattern, drop_commas in branches:
-        cond = d.rlike(regex)
-        if sep is not None:
-            # The regex guarantees digits, so the cast cannot fail.
-            cond = cond & (F.split_part(d, F.lit(sep), F.lit(part)).try_cast("int") > 12)
-        text = F.replace(d, F.lit(","), F.lit("")) if drop_commas else d
-        parsed.append(F.when(cond, _parse(text, pattern, on_error)))
-    return F.coalesce(*parsed)
-
-
 def _branch_conditions(d: Column, branches=DATE_BRANCHES):
+    """(guard, text to parse, Spark pattern) per branch, in order. The regex
+    guarantees digits where a guard casts a split part, so the cast cannot
+    fail."""
     out = []
     for _name, regex, sep, part, pattern, drop_commas in branches:
         cond = d.rlike(regex)
@@ -50,6 +36,16 @@ def _branch_conditions(d: Column, branches=DATE_BRANCHES):
     return out
 
 
+def parse_date_text(date_text, on_error: str = "fail", branches=DATE_BRANCHES) -> Column:
+    """The raw text (not trimmed) to DATE. Unmatched layouts give NULL
+    silently; a matched layout with an impossible date raises (``fail``) or
+    gives NULL (``null``). Branches are lazy: a parse runs only for rows its
+    guard accepts."""
+    d = _col(date_text)
+    return F.coalesce(*[F.when(cond, _parse(text, pattern, on_error))
+                        for cond, text, pattern in _branch_conditions(d, branches)])
+
+
 def date_branch(date_text, branches=DATE_BRANCHES) -> Column:
     """1-based number of the first branch whose pattern (and guard) matches
     the text, 0 for none. The layouts are mutually exclusive and a later
