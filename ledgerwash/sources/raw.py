@@ -16,8 +16,9 @@ def load_raw(spark: SparkSession, path: str, fmt: str = "parquet", schema=RAW_TR
     For CSV, empty fields are read as NULL unless ``emptyValue`` says
     otherwise: how the loader treats empty text decides whether a note is
     NULL or '' (and with it which rows keep an amount, see the ``null_notes``
-    switch of the pipeline). Columns of ``schema`` missing from the files
-    (``ingest_seq``, ``k``) come back NULL for parquet/JSON; supply them.
+    switch of the pipeline). CSV columns are matched by position, in the
+    declared order. Columns of ``schema`` missing from the files
+    (``ingest_seq``, ``k``) come back NULL; ``with_arrival_order`` fills them.
     """
     reader = spark.read.schema(schema)
     if fmt == "csv":
