@@ -46,8 +46,9 @@ def write_marts(marts: dict[str, DataFrame], root: str, mode: str = "overwrite")
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
-    """A folder under the session's shared checkpoint directory."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    """A folder under the shared checkpoint directory the cluster names in
+    ``spark.checkpoint.dir`` (else the context's checkpoint folder)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         raise RuntimeError("spark.checkpoint.dir is not set; set it to a shared folder")
     return f"{base.rstrip('/')}/{name}"

@@ -100,5 +100,5 @@ def read_cleaned(spark: SparkSession, output_path: str) -> DataFrame:
 
 def default_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     """(output, checkpoint) folders under the session's shared checkpoint dir."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return os.path.join(base, name, "cleaned"), os.path.join(base, name, "_stream_checkpoint")
