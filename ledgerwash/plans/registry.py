@@ -202,24 +202,27 @@ def _d06(t: Tables):
                                    "remaining_null_status": "status"})
 
 
+# D7/D8 run where the source runs them: after the case and whitespace
+# fixes, before the blank fix (so a blank status or category still shows).
+
 @query("d07_distinct_currency")
 def _d07a(t: Tables):
-    return D.distinct_values(t.clean, "currency")
+    return D.distinct_values(t.upto("C10a"), "currency")
 
 
 @query("d07_distinct_transaction_type")
 def _d07b(t: Tables):
-    return D.distinct_values(t.clean, "transaction_type")
+    return D.distinct_values(t.upto("C10a"), "transaction_type")
 
 
 @query("d07_distinct_status")
 def _d07c(t: Tables):
-    return D.distinct_values(t.clean, "status")
+    return D.distinct_values(t.upto("C10a"), "status")
 
 
 @query("d08_distinct_category_sorted")
 def _d08(t: Tables):
-    return D.distinct_values(t.clean, "category", sort=True)
+    return D.distinct_values(t.upto("C10a"), "category", sort=True)
 
 
 @query("d09_status_lengths_before_blank_fix")
