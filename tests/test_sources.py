@@ -52,3 +52,15 @@ def test_load_customers_schema(spark):
     c = load_customers(spark, f"{base}/c", fmt="csv")
     assert c.schema["credit_score"].dataType.simpleString() == "int"
     assert sorted((r.customer_id, r.credit_score) for r in c.collect()) == [("C1", 700), ("C2", None)]
+
+
+def test_command_line_workflow(spark, tables):
+    from ledgerwash.__main__ import main
+    base = os.path.join(ensure_checkpoint_dir(spark), f"cli-{uuid.uuid4().hex[:8]}")
+    tables.raw.write.parquet(f"{base}/raw_tx")
+    tables.customers_raw.write.parquet(f"{base}/raw_cust")
+    written = main(["--transactions", f"{base}/raw_tx", "--customers", f"{base}/raw_cust", "--out", f"{base}/out",
+                    "--format", "parquet", "--only", "spend_by_category", "kpi_summary"])
+    assert written == ["spend_by_category", "kpi_summary"]
+    assert spark.read.parquet(f"{base}/out/marts/spend_by_category").count() > 0
+    assert spark.read.parquet(f"{base}/out/clean_fact").count() == tables.clean.count()
