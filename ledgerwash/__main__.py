@@ -1,7 +1,7 @@
 """Run the clean-once workflow on raw files:
 
-    spark-submit -m ledgerwash --transactions RAW_TX --customers RAW_CUST --out OUT [--format csv]
-    python -m ledgerwash ...            (local)
+    python -m ledgerwash --transactions RAW_TX --customers RAW_CUST --out OUT [--format csv]
+    spark-submit --py-files ledgerwash.zip tools/submit_workflow.py ...   (cluster)
 
 Reads both raw tables with the declared schemas, fills a missing arrival
 order, cleans, writes the cleaned fact and every report under OUT.
