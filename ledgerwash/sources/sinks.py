@@ -31,8 +31,15 @@ def write_clean_fact(clean: DataFrame, path: str, mode: str = "overwrite",
     out.write.mode(mode).partitionBy("year_month").parquet(path)
 
 
-def read_clean_fact(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("year_month")
+def read_clean_fact(spark: SparkSession, path: str, months=None) -> DataFrame:
+    """Read the cleaned fact back. ``months`` (``"yyyy-MM"`` texts, or
+    ``None`` for all; ``"__HIVE_DEFAULT_PARTITION__"`` rows without a date
+    are read as NULL) filters on the partition column, so only those month
+    folders are listed and scanned."""
+    df = spark.read.parquet(path)
+    if months is not None:
+        df = df.filter(F.col("year_month").isin(list(months)))
+    return df.drop("year_month")
 
 
 def write_marts(marts: dict[str, DataFrame], root: str, mode: str = "overwrite") -> list[str]:
