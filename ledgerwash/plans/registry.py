@@ -20,6 +20,8 @@ from ..operators import quality as D
 from ..operators.cleaning import clean_customers, clean_transactions
 from ..sources import fixtures
 from ..sources.schema import CUSTOMER_LENGTH_LIMITS, TRANSACTION_LENGTH_LIMITS
+from ..sources.sinks import checkpoint_path
+from ..streaming.incremental import read_cleaned, start_cleaning_stream
 from . import analysis as Q
 from . import views as V
 
@@ -162,6 +164,23 @@ def _clean(t: Tables):
     return t.clean
 
 
+@query("s01_incremental_clean")
+def _s01(t: Tables):
+    """The streaming form of the pipeline: the raw rows land as two file
+    arrivals (half of the originals, then the rest with every re-sent copy)
+    in the shared checkpoint folder, the stream cleans both, and the result
+    must equal the batch pipeline (first arrival wins across batches)."""
+    import uuid
+    spark = t.raw.sparkSession
+    base = checkpoint_path(spark, f"incremental-{uuid.uuid4().hex}")
+    raw_dir, out_dir, ckpt = f"{base}/raw", f"{base}/cleaned", f"{base}/_checkpoint"
+    first = F.expr("ingest_seq = 1 AND k % 2 = 0")
+    for arrival in (t.raw.filter(first), t.raw.filter(~first)):
+        arrival.write.mode("append").parquet(raw_dir)
+        start_cleaning_stream(spark, raw_dir, out_dir, ckpt, available_now=True).awaitTermination()
+    return read_cleaned(spark, out_dir)
+
+
 # -- data-quality inspection -------------------------------------------------------
 
 @query("d01_duplicate_keys")
