@@ -20,7 +20,7 @@ from ..operators import quality as D
 from ..operators.cleaning import clean_customers, clean_transactions
 from ..sources import fixtures
 from ..sources.schema import CUSTOMER_LENGTH_LIMITS, TRANSACTION_LENGTH_LIMITS
-from ..sources.sinks import checkpoint_path
+from ..session import ensure_checkpoint_dir
 from ..streaming.incremental import read_cleaned, start_cleaning_stream
 from . import analysis as Q
 from . import views as V
@@ -172,7 +172,7 @@ def _s01(t: Tables):
     must equal the batch pipeline (first arrival wins across batches)."""
     import uuid
     spark = t.raw.sparkSession
-    base = checkpoint_path(spark, f"incremental-{uuid.uuid4().hex}")
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
     raw_dir, out_dir, ckpt = f"{base}/raw", f"{base}/cleaned", f"{base}/_checkpoint"
     first = F.expr("ingest_seq = 1 AND k % 2 = 0")
     for arrival in (t.raw.filter(first), t.raw.filter(~first)):
