@@ -56,4 +56,5 @@ def run_workflow(spark: SparkSession, transactions_raw: DataFrame, customers_raw
     marts = reports(clean, clean_customers(customers_raw))
     if only is not None:
         marts = {name: marts[name] for name in only}
-    return write_marts(marts, f"{out.rstrip('/')}/marts")
+    row_level = {"vw_clean_transactions": "transaction_date", "vw_flagged_transactions": "transaction_date"}
+    return write_marts(marts, f"{out.rstrip('/')}/marts", by_month=row_level)

@@ -42,12 +42,21 @@ def read_clean_fact(spark: SparkSession, path: str, months=None) -> DataFrame:
     return df.drop("year_month")
 
 
-def write_marts(marts: dict[str, DataFrame], root: str, mode: str = "overwrite") -> list[str]:
-    """Write each mart (small grouped results and row-level views alike) as
-    parquet under ``root/<name>``."""
+def write_marts(marts: dict[str, DataFrame], root: str, mode: str = "overwrite",
+                by_month: dict[str, str] | None = None) -> list[str]:
+    """Write each mart as parquet under ``root/<name>``. Row-level marts
+    named in ``by_month`` (name -> date column) are partitioned by
+    ``year_month`` so BI readers prune by month; each task writes its own
+    rows, sorted by month (no month goes whole to one task)."""
     written = []
     for name, df in marts.items():
-        df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
+        date_col = (by_month or {}).get(name)
+        if date_col:
+            (df.withColumn("year_month", F.date_format(date_col, "yyyy-MM"))
+             .sortWithinPartitions("year_month")
+             .write.mode(mode).partitionBy("year_month").parquet(f"{root.rstrip('/')}/{name}"))
+        else:
+            df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
         written.append(name)
     return written
 

@@ -58,6 +58,9 @@ def test_run_workflow_writes_every_mart_equal_to_direct_queries(spark, tables):
     written = run_workflow(spark, tables.raw, tables.customers_raw, out)
     direct = reports(tables.clean, tables.customers)
     assert sorted(written) == sorted(direct)
+    flagged = spark.read.parquet(f"{out}/marts/vw_flagged_transactions")
+    assert "year_month" in flagged.columns
+    assert flagged.count() == direct["vw_flagged_transactions"].count()
     for name in ("spend_by_category", "sigma_outliers", "vw_customer_summary", "kpi_summary"):
         got = spark.read.parquet(f"{out}/marts/{name}")
         want = direct[name]
