@@ -4,12 +4,11 @@ another scale."""
 
 import pytest
 
-import __spark_entry__ as entry_module
 from conftest import SF_ORACLE
+from ledgerwash.oracle import ORACLE_SQL as ORACLE
+from ledgerwash.plans.registry import REGISTRY as QUERIES
 from oracle_compare import compare, duck
 
-QUERIES = entry_module.queries()
-ORACLE = entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
+from ledgerwash.plans.registry import REGISTRY
 
 AGG = ("HashAggregate", "SortAggregate", "ObjectHashAggregate")
 
@@ -21,9 +21,9 @@ def _op(line: str) -> str:
     return re.sub(r"^[\s:+\-*()\d]*", "", line)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_plan_lint(spark, name):
-    lines = _final_plan(E.queries()[name](spark, "/root/testdata/sf0.001"))
+    lines = _final_plan(REGISTRY[name](spark, "/root/testdata/sf0.001"))
     ops = [_op(l) for l in lines if _op(l) and "QueryStage" not in l and "AQEShuffleRead" not in l]
     for i, op in enumerate(ops):
         if op.startswith("Exchange SinglePartition"):
