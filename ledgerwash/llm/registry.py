@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwash.llm import chat, packing, pii, simhash, toxicity, urlfilter
+from ledgerwash.llm import chat, decontam, licenses, packing, pii, simhash, toxicity, urlfilter
 from ledgerwash.llm.sql import ORACLE_SQL as SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,10 +51,19 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.templates(spark))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_chat, op2_simhash, op4_url_filter, op5_pii, op6_toxicity, op9_packing)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_chat, op2_simhash, op4_url_filter, op5_pii, op6_toxicity, op7_licenses, op9_packing,
+                                             op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {name: SQL[name] for name in QUERIES if name in SQL}
