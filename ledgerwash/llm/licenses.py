@@ -45,8 +45,8 @@ PHRASES = (
 NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("gpl-2", "licensed under the gnu general public license version 2"),
+    ("gpl-3", "general public license version 3"),
+    ("gpl-2", "general public license version 2"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by-sa", "licensed under cc by sa"),
