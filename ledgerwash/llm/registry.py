@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwash.llm import chat, decontam, licenses, packing, pii, simhash, toxicity, urlfilter
+from ledgerwash.llm import ann, chat, decontam, licenses, packing, pii, simhash, toxicity, urlfilter
 from ledgerwash.llm.sql import ORACLE_SQL as SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
+
+
 #: (host, path, verdict)
 URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block"))
@@ -63,7 +67,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_chat, op2_simhash, op4_url_filter, op5_pii, op6_toxicity, op7_licenses, op9_packing,
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_chat, op2_simhash, op3_nearest, op4_url_filter, op5_pii, op6_toxicity, op7_licenses, op9_packing,
                                              op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {name: SQL[name] for name in QUERIES if name in SQL}
