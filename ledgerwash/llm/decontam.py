@@ -130,6 +130,5 @@ def leaks(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str
 def clean(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of ``df``, as they were, that leak no item."""
     bad = written(findings(df, bench, id_col, text_col, **settings).select(*KEY).distinct(), "leaks")
-    names = {c: f"_key_{c}" for c in KEY}
-    keyed = df.select("*", *(c.alias(names[k]) for k, c in zip(KEY, key_columns(id_col, text_col), strict=True)))
-    return keyed.join(bad.withColumnsRenamed(names), list(names.values()), "left_anti").select(*df.columns)
+    keyed = df.select(F.struct(*df.columns).alias("row"), *key_columns(id_col, text_col))
+    return keyed.join(bad, list(KEY), "left_anti").select("row.*")

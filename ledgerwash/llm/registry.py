@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerwash.llm import ann, chat, decontam, licenses, packing, pii, simhash, toxicity, urlfilter
+import corpus_pipeline
+from ledgerwash.llm import ann, chat, decontam, extract, licenses, packing, pii, simhash, toxicity, urlfilter
 from ledgerwash.llm.sql import ORACLE_SQL as SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,10 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"), licenses.templates(spark))
 
 
+def op8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extracted(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op1_chat, op2_simhash, op3_nearest, op4_url_filter, op5_pii, op6_toxicity, op7_licenses, op9_packing,
-                                             op10_decontamination)}
+QUERIES: dict[str, Query] = {"pipeline": corpus_pipeline.run} | {
+    q.__name__: q for q in (op1_chat, op2_simhash, op3_nearest, op4_url_filter, op5_pii, op6_toxicity, op7_licenses,
+                            op8_extract, op9_packing, op10_decontamination)}
 
 ORACLE_SQL: dict[str, str] = {name: SQL[name] for name in QUERIES if name in SQL}

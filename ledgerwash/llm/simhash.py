@@ -131,8 +131,10 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     classes = found.groupBy("fp").agg(F.min("id").alias("id"))
     tree = classes.join(roots(classes.select("fp"), radius, max_bucket), "fp")
     best = tree.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("fp"))).alias("s"))
-    chosen = best.select(F.col("s.id").alias("_id"), F.col("s.fp").alias("_fp"))
-    rows = df.withColumn("_fp_of_row", simhash(F.col(text_col), shingle))
-    kept = rows.join(chosen, (F.col("_fp_of_row") == F.col("_fp")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    order = Window.partitionBy("_fp_of_row", id_col).orderBy(*(c for c in df.columns if c != id_col))
-    return (kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*df.columns))
+    chosen = best.select("s.id", "s.fp")
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"),
+                     simhash(F.col(text_col), shingle).alias("fp")).alias("r")
+    same = (F.col("r.fp") == F.col("c.fp")) & F.col("r.id").eqNullSafe(F.col("c.id"))
+    order = Window.partitionBy("fp", "id").orderBy("row")
+    return (rows.join(chosen.alias("c"), same, "left_semi").withColumn("n", F.row_number().over(order))
+            .where("n = 1").select("row.*"))
