@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerwash.llm.memo import Memo
 from ledgerwash.llm.rowkey import KEY, key_columns, with_key
 from ledgerwash.llm.scratch import written
 
@@ -53,7 +54,8 @@ NOTICES = (
 )
 
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_CACHED = 500_000
+_WORDS = 200_000  # remembered by a task
+_TEXTS = 512
 _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _GRAMS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
 
@@ -72,22 +74,21 @@ def kgrams(k: int):
     lower-cases A-Z only; every byte of a non-ASCII character is a word's."""
     @F.arrow_udf(_GRAMS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[bytes, tuple[int, int]] = {}
+        known = Memo(xxhash.xxh3_128_digest, _WORDS)
         for batch in batches:
-            first, second, ends = [], [], [0]
-            for t in batch:
-                words = _WORD.findall(t.as_buffer().to_pybytes().lower()) if t.is_valid else []
-                if len(known) > _CACHED:
-                    known.clear()
-                for w in set(words).difference(known):
-                    known[w] = xxhash.xxh64_intdigest(w, 1), xxhash.xxh64_intdigest(w, 2)
-                pairs = np.array([known[w] for w in words], np.uint64).reshape(-1, 2)
-                first.append(_rolled(pairs[:, 0], k, _MUL[0]))
-                second.append(_rolled(pairs[:, 1], k, _MUL[1]))
-                ends.append(ends[-1] + len(first[-1]))
-            grams = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) if x else pa.array([], pa.int64())
-                                                for x in (first, second)], ["a", "b"])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), grams)
+            for at in range(0, len(batch), _TEXTS):  # smaller batches go back, which keeps both sides' buffers small
+                first, second, ends = [], [], [0]
+                for t in batch.slice(at, _TEXTS):
+                    words = _WORD.findall(t.as_buffer().to_pybytes().lower()) if t.is_valid else []
+                    known.trim()
+                    halves = np.frombuffer(b"".join(map(known.__getitem__, words)), "<u8").reshape(-1, 2)
+                    first.append(_rolled(halves[:, 0], k, _MUL[0]))
+                    second.append(_rolled(halves[:, 1], k, _MUL[1]))
+                    ends.append(ends[-1] + len(first[-1]))
+                grams = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in (first, second)], ["a", "b"])
+                yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), grams)
+            if not len(batch):
+                yield pa.array([], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
     return run
 
 
