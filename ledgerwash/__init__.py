@@ -15,7 +15,7 @@ from .plans.analysis import (monthly_spend, running_totals, sigma_outliers, spen
 from .plans.marts import reports, run_workflow
 from .plans.views import (clean_fact, completion_rate, kpi_summary, vw_category_summary, vw_clean_transactions,
                           vw_customer_summary, vw_flagged_transactions, vw_merchant_summary, vw_monthly_summary)
-from .sources.raw import load_customers, load_raw, with_arrival_order
+from .sources.raw import load_customers, load_raw
 
 __version__ = "0.1.0"
 
@@ -24,5 +24,5 @@ __all__ = [
     "spend_by_account_type", "spend_by_category", "spend_by_text_period", "status_breakdown", "top_customers",
     "top_merchants", "reports", "run_workflow", "clean_fact", "completion_rate", "kpi_summary",
     "vw_category_summary", "vw_clean_transactions", "vw_customer_summary", "vw_flagged_transactions",
-    "vw_merchant_summary", "vw_monthly_summary", "load_customers", "load_raw", "with_arrival_order",
+    "vw_merchant_summary", "vw_monthly_summary", "load_customers", "load_raw",
 ]

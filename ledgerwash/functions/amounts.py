@@ -12,19 +12,14 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_amount(amount, on_error: str = "fail") -> Column:
-    """Trimmed text, ``N/A`` as NULL, cast to decimal(15,2) rounding half
-    away from zero. ``on_error="fail"`` raises on any other junk (strict,
-    like the source cast); ``"null"`` turns it into NULL."""
-    text = F.nullif(F.trim(_col(amount)), F.lit(NA_AMOUNT))
-    if on_error == "fail":
-        return text.cast(AMOUNT_TYPE)
-    if on_error == "null":
-        return text.try_cast(AMOUNT_TYPE)
-    raise ValueError(f"on_error must be 'fail' or 'null', not {on_error!r}")
+def parse_amount(amount) -> Column:
+    """Trimmed text, ``N/A`` as NULL, to decimal(15,2) rounding half away from
+    zero; any other junk is NULL (a strict pipeline raises on it later, see
+    ``takes_amount_cast``)."""
+    return F.nullif(F.trim(_col(amount)), F.lit(NA_AMOUNT)).try_cast(AMOUNT_TYPE)
 
 
-def clean_amount(amount, notes, null_notes: str = "sql", on_error: str = "fail") -> Column:
+def clean_amount(amount, notes, null_notes: str = "sql") -> Column:
     """C13a/C13b. Zero-flagged rows get 0.00; rows whose note does not carry
     the zero flag get the parsed amount.
 
@@ -39,7 +34,7 @@ def clean_amount(amount, notes, null_notes: str = "sql", on_error: str = "fail")
         raise ValueError(f"null_notes must be 'sql' or 'as_empty', not {null_notes!r}")
     zero = n.like(ZERO_MARK)
     return (F.when(zero, F.lit(0).cast(AMOUNT_TYPE))
-            .when(~zero, parse_amount(amount, on_error))
+            .when(~zero, parse_amount(amount))
             .otherwise(F.lit(None).cast(AMOUNT_TYPE)))
 
 

@@ -7,21 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.schema import DATE_BRANCHES
-from .flags import not_future_flagged
 
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _parse(text: Column, pattern: str, on_error: str) -> Column:
-    if on_error == "fail":
-        return F.to_date(text, pattern)
-    if on_error == "null":
-        return F.try_to_date(text, pattern)
-    raise ValueError(f"on_error must be 'fail' or 'null', not {on_error!r}")
-
-
 def _branch_conditions(d: Column, branches=DATE_BRANCHES):
     """(guard, text to parse, Spark pattern) per branch, in order. The regex
     guarantees digits where a guard casts a split part, so the cast cannot
@@ -36,16 +27,6 @@ def _branch_conditions(d: Column, branches=DATE_BRANCHES):
     return out
 
 
-def parse_date_text(date_text, on_error: str = "fail", branches=DATE_BRANCHES) -> Column:
-    """The raw text (not trimmed) to DATE. Unmatched layouts give NULL
-    silently; a matched layout with an impossible date raises (``fail``) or
-    gives NULL (``null``). Branches are lazy: a parse runs only for rows its
-    guard accepts."""
-    d = _col(date_text)
-    return F.coalesce(*[F.when(cond, _parse(text, pattern, on_error))
-                        for cond, text, pattern in _branch_conditions(d, branches)])
-
-
 def date_branch(date_text, branches=DATE_BRANCHES) -> Column:
     """1-based number of the first branch whose pattern (and guard) matches
     the text, 0 for none. The layouts are mutually exclusive and a later
@@ -69,11 +50,6 @@ def date_from_branch(date_text, branch, branches=DATE_BRANCHES) -> Column:
     return expr
 
 
-def clean_date(date_text, notes, on_error: str = "fail") -> Column:
-    """Future-flagged rows keep a NULL date."""
-    return F.when(not_future_flagged(notes), parse_date_text(date_text, on_error))
-
-
 def text_period(date_text) -> Column:
     """A rough period from the raw text: ``YYYY-MM``/``YYYY/MM`` when
     the text starts with a year, else a trailing four-digit year, else

@@ -62,11 +62,3 @@ def not_zero_flagged(notes="notes") -> Column:
 
 def not_future_flagged(notes="notes") -> Column:
     return not_marked(notes, FUTURE_MARK)
-
-
-def zero_flagged(notes="notes") -> Column:
-    return _col(notes).like(ZERO_MARK)
-
-
-def future_flagged(notes="notes") -> Column:
-    return _col(notes).like(FUTURE_MARK)

@@ -18,10 +18,6 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def round2(c) -> Column:
-    return F.round(_col(c), 2)
-
-
 def sum2(c) -> Column:
     return F.round(F.sum(_col(c)), 2)
 

@@ -5,15 +5,16 @@ The order of C2–C15 is part of the semantics: currency is trimmed before the
 naira sign is mapped, status is lower-cased before blanks are filled and
 before the reversal rule reads it.
 
-C1 (keep the first arrival of every id) is the only shuffle. The row-wise
+C1 (keep the first arrival of every id) is the only shuffle, and reads only
+the columns that the report above it needs. The row-wise
 steps C2–C15 depend on nothing but the row, and the arrival order reads only
 columns they leave untouched, so cleaning every row and then keeping the
 first arrival gives the rows of the source order (dedup first, then clean).
-Running them map-side, below the dedup aggregate, matters for every query:
+Running them map-side, below the dedup, matters for every query:
 Catalyst pushes a filter on a derived column (``amount_clean``, ``notes``)
 down through projections by inlining their expressions, so a filter placed
 above a chain of cleaning projections would recompute the whole chain, many
-times over. Above the aggregate the filter reads plain columns.
+times over. Above the window the filter reads plain columns.
 
 Strict casts (``on_error="fail"``) keep the source semantics exactly: the
 map-side cast is a ``try_`` cast plus an error flag, and only a row that
@@ -25,39 +26,59 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, flags, text
 from ..sources.schema import UNCATEGORISED, UNKNOWN_LOCATION, UNKNOWN_NAME, UNKNOWN_STATUS
 
-# Arrival order first; the rest only breaks ties between copies that arrived
-# together, so the kept row never depends on file or task order.
-DEFAULT_DEDUP_ORDER = ("ingest_seq", "amount", "transaction_date", "k")
+# Arrival order first (``ingest_seq`` if the source has one, else ``arrival``,
+# the place in the files that ``load_raw`` adds); the rest only breaks ties
+# between rows that arrived at the same place, ``k`` being a hash of the row.
+DEFAULT_DEDUP_ORDER = ("ingest_seq", "arrival", "amount", "transaction_date", "k")
+ARRIVAL = "arrival"
+
+
+def _order_columns(df: DataFrame, key: str, order) -> list[str]:
+    return [c for c in order if c in df.columns and c != key]
 
 
 def dedup_first(df: DataFrame, key: str = "transaction_id", order=DEFAULT_DEDUP_ORDER) -> DataFrame:
-    """Keep the first arrival of every key value (NULL keys form one
-    group, like GROUP BY).
-
-    Written as ``min`` over the row packed into a struct, ordered by the
-    ``order`` columns (NULLS LAST, via a null flag before each) and then by
-    every remaining column, so the kept row is a total-order choice and never
-    depends on task order. As an aggregate it gets a partial (map-side) step:
-    every map task keeps one row per key before the shuffle, so a key holding
-    a large share of the rows costs one row per map task in the exchange.
-    Column pruning cannot narrow the packed row, so every consumer of the
-    deduplicated rows in one plan shares the same exchange (Spark reuses it)
-    instead of shuffling again.
+    """Keep the first row of every key value in ``order`` (NULLS LAST; NULL
+    keys form one group, like GROUP BY).
+
+    A ``row_number() = 1`` window: Spark puts a group limit before the
+    exchange, so a key holding a large share of the rows sends one row per map
+    task, and prunes the columns nobody reads above, so a narrow report
+    shuffles narrow rows.
     """
-    order = [c for c in order if c in df.columns and c != key]
-    rest = [c for c in df.columns if c != key]
+    by = Window.partitionBy(key).orderBy(*(F.col(c).asc_nulls_last() for c in _order_columns(df, key, order)))
+    return df.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+
+
+def dedup_first_packed(df: DataFrame, keep, key: str = "transaction_id", order=DEFAULT_DEDUP_ORDER) -> DataFrame:
+    """C1 for plans that read the kept rows more than once: the columns
+    ``keep`` packed into one struct behind the order columns, and its ``min``.
+    Pruning cannot tell the branches of the plan apart, so they share one
+    exchange of these columns, where the window form would be computed once
+    for each set of columns."""
     parts = []
-    for i, c in enumerate(order):
+    for i, c in enumerate(_order_columns(df, key, order)):
         parts += [F.col(c).isNull().alias(f"_null_{i}"), F.col(c).alias(f"_ord_{i}")]
-    packed = F.struct(*parts, *[F.col(c).alias(c) for c in rest])
-    first = df.groupBy(key).agg(F.min(packed).alias("_first"))
-    return first.select(key, *[F.col(f"_first.`{c}`").alias(c) for c in rest]).select(*df.columns)
+    keep = [c for c in keep if c != key]
+    first = df.groupBy(key).agg(F.min(F.struct(*parts, *[F.col(c) for c in keep])).alias("_first"))
+    return first.select(key, *[F.col(f"_first.`{c}`").alias(c) for c in keep])
+
+
+def _require_arrival(df: DataFrame) -> DataFrame:
+    """Raise for rows without any arrival order: the first arrival could not be
+    told, and another column must not decide."""
+    known = [F.col(c).isNotNull() for c in ("ingest_seq", ARRIVAL) if c in df.columns]
+    if not known:
+        raise ValueError("no arrival order: read the rows with load_raw, or add ingest_seq")
+    seq = F.col("ingest_seq") if "ingest_seq" in df.columns else F.lit(None).cast("bigint")
+    none = F.raise_error(F.lit("a row has no arrival order: read it with load_raw, or fill ingest_seq"))
+    return df.withColumn("ingest_seq", F.when(~F.greatest(*known, F.lit(False)), none).otherwise(seq))
 
 
 @dataclass(frozen=True)
@@ -73,7 +94,7 @@ def _row_steps(null_notes: str, on_error: str) -> list[Step]:
         raise ValueError(f"on_error must be 'fail' or 'null', not {on_error!r}")
 
     def c13():
-        out = {"amount_clean": amounts.clean_amount("amount", "notes", null_notes, "null")}
+        out = {"amount_clean": amounts.clean_amount("amount", "notes", null_notes)}
         if strict:
             out[AMOUNT_CAST] = amounts.takes_amount_cast("amount", "notes", null_notes)
         return out
@@ -121,6 +142,8 @@ def _finish_row_steps(df: DataFrame, strict: bool) -> DataFrame:
     if AMOUNT_CAST in df.columns:
         df = df.withColumn(AMOUNT_ERROR, F.col(AMOUNT_CAST) & F.col("amount_clean").isNull()).drop(AMOUNT_CAST)
     return df
+
+
 STEP_IDS = ("C1",) + tuple(s.id for s in _row_steps("sql", "fail"))
 
 
@@ -141,13 +164,18 @@ def _raise_on_errors(df: DataFrame) -> DataFrame:
 
 
 def clean_transactions(raw: DataFrame, *, null_notes: str = "sql", on_error: str = "fail",
-                       upto: str | None = None, dedup: bool = True,
-                       dedup_order=DEFAULT_DEDUP_ORDER) -> DataFrame:
+                       upto: str | None = None, dedup: bool = True, dedup_order=DEFAULT_DEDUP_ORDER,
+                       columns=None) -> DataFrame:
     """Run the pipeline on the raw fact, through step ``upto`` (inclusive;
     default: all). The result keeps every raw column (repaired in place) and
     adds ``amount_clean decimal(15,2)`` and ``transaction_date_clean date``
     once their steps have run; one row per ``transaction_id`` (the first
-    arrival) unless ``dedup=False``.
+    arrival) unless ``dedup=False``. Rows without an arrival order raise.
+
+    ``columns``: the columns to return beside the id, for a plan that reads
+    the result more than once (Q7, Q8, V6, K1 from raw): they are projected
+    between the row rules and the deduplication, and all readers share that
+    one shuffle.
 
     ``null_notes``: ``"sql"`` (exact three-valued behaviour of the source
     rules) or ``"as_empty"``. ``on_error``: ``"fail"`` (a kept row whose
@@ -155,26 +183,24 @@ def clean_transactions(raw: DataFrame, *, null_notes: str = "sql", on_error: str
     """
     if upto is not None and upto not in STEP_IDS:
         raise ValueError(f"unknown step {upto!r}; expected one of {STEP_IDS}")
-    df = raw
+    df = _require_arrival(raw) if dedup else raw
     if upto != "C1":
         for step in _row_steps(null_notes, on_error):
             df = df.withColumns(step.build())
             if step.id == upto:
                 break
         df = _finish_row_steps(df, on_error == "fail")
+    if columns is not None:
+        # A typed column needs its error flag, and the raw text to name in the error.
+        needs = {"amount_clean": (AMOUNT_ERROR, "amount"), "transaction_date_clean": (DATE_ERROR, "transaction_date")}
+        extra = [c for typed, more in needs.items() if typed in columns and more[0] in df.columns for c in more]
+        keep = list(dict.fromkeys([*columns, *extra]))
+        df = (dedup_first_packed(df, keep, "transaction_id", dedup_order) if dedup
+              else df.select("transaction_id", *(c for c in keep if c != "transaction_id")))
+        return _raise_on_errors(df).select("transaction_id", *(c for c in columns if c != "transaction_id"))
     if dedup:
         df = dedup_first(df, "transaction_id", dedup_order)
-    return _raise_on_errors(df)
-
-
-def apply_step(df: DataFrame, step_id: str, *, null_notes: str = "sql", on_error: str = "fail") -> DataFrame:
-    """Apply one step alone (for inspection and tests)."""
-    if step_id == "C1":
-        return dedup_first(df)
-    for step in _row_steps(null_notes, on_error):
-        if step.id == step_id:
-            return _raise_on_errors(_finish_row_steps(df.withColumns(step.build()), on_error == "fail"))
-    raise ValueError(f"unknown step {step_id!r}")
+    return _raise_on_errors(df).drop(ARRIVAL)
 
 
 def clean_customers(raw: DataFrame) -> DataFrame:

@@ -53,13 +53,12 @@ def duplicate_rows(df: DataFrame, key: str = "transaction_id", n: int = 20,
                    columns=DUPLICATE_ROW_COLUMNS, tie_break=("ingest_seq", "k")) -> DataFrame:
     """D3: the first ``n`` rows (by key) of keys that occur more than once.
 
-    Only the ``n`` smallest duplicated keys can contribute, so those (at most
-    ``n`` values, a proven bound) are broadcast to a semi join; the full
-    duplicate key set is never joined back to the fact.
+    Only the ``n`` smallest duplicated keys can contribute, so only those go
+    to the semi join; the full duplicate key set is never joined back.
     """
     dup = key_counts(df.filter(F.col(key).isNotNull()), key, "_n").filter(F.col("_n") > 1)
     first_keys = dup.select(key).orderBy(F.col(key).asc()).limit(n)
-    rows = df.join(F.broadcast(first_keys), key, "left_semi")
+    rows = df.join(first_keys, key, "left_semi")
     order = [F.col(key).asc_nulls_last()] + [F.col(c).asc_nulls_last() for c in tie_break if c in df.columns]
     return rows.orderBy(*order).limit(n).select(*columns)
 

@@ -186,7 +186,7 @@ def running_totals(clean: DataFrame, customers: DataFrame, top: int = 5, n: int
     a limit see ``running_totals_all``.
     """
     ids = top_spender_ids(clean, top)
-    rows = (clean.filter(spend_filter()).join(F.broadcast(ids), "customer_id", "left_semi")
+    rows = (clean.filter(spend_filter()).join(ids, "customer_id", "left_semi")
             .select("customer_id", "transaction_id", DT, "merchant_name", AMT))
     order = [F.col("customer_id").asc_nulls_last(), F.col(DT).asc_nulls_last(), F.col("transaction_id").asc_nulls_last()]
     if n is None:

@@ -12,11 +12,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import clean_customers, clean_transactions
+from ..operators.quality import assert_unique
 from ..sources.sinks import read_clean_fact, write_clean_fact, write_marts
 from . import analysis as Q
 from . import views as V
 
 
+ROW_LEVEL = {"vw_clean_transactions": "transaction_date", "vw_flagged_transactions": "transaction_date"}
+ROLLUPS = {"monthly_debit_line": ("vw_monthly_summary", V.monthly_debit_line),
+           "merchant_volume": ("vw_merchant_summary", V.merchant_volume)}
+
+
 def reports(clean: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
     """Every analysis query, view and dashboard feed over a cleaned fact."""
     fact = V.clean_fact(clean)
@@ -53,8 +59,17 @@ def run_workflow(spark: SparkSession, transactions_raw: DataFrame, customers_raw
     fact_path = f"{out.rstrip('/')}/clean_fact"
     write_clean_fact(clean_transactions(transactions_raw, null_notes=null_notes, on_error=on_error), fact_path)
     clean = read_clean_fact(spark, fact_path)
-    marts = reports(clean, clean_customers(customers_raw))
-    if only is not None:
-        marts = {name: marts[name] for name in only}
-    row_level = {"vw_clean_transactions": "transaction_date", "vw_flagged_transactions": "transaction_date"}
-    return write_marts(marts, f"{out.rstrip('/')}/marts", by_month=row_level)
+    # Reports join attributes to aggregates: a key that occurs twice would repeat rows and inflate totals.
+    customers = clean_customers(customers_raw)
+    assert_unique(customers, "customer_id")
+    root = f"{out.rstrip('/')}/marts"
+    marts = reports(clean, customers)
+    names = list(marts) if only is None else only
+    written = []
+    for name in names:
+        if name in ROLLUPS:  # a roll-up of another mart reads that mart
+            source, build = ROLLUPS[name]
+            if source in written:
+                marts[name] = build(spark.read.parquet(f"{root}/{source}"))
+        written += write_marts({name: marts[name]}, root, by_month=ROW_LEVEL)
+    return written

@@ -10,6 +10,8 @@ one-to-one with the SQL oracle.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +21,11 @@ from pyspark.sql import types as T
 from ..operators import quality as D
 from ..operators.cleaning import clean_customers, clean_transactions
 from ..sources import fixtures
-from ..sources.schema import CUSTOMER_LENGTH_LIMITS, TRANSACTION_LENGTH_LIMITS
 from ..session import ensure_checkpoint_dir
+from ..sources.catalog import build_views, list_views, register_views
+from ..sources.raw import load_raw
+from ..sources.schema import CUSTOMER_LENGTH_LIMITS, RAW_TEXT_COLUMNS, TRANSACTION_LENGTH_LIMITS
+from ..sources.sinks import read_clean_fact, write_clean_fact
 from ..streaming.incremental import read_cleaned, start_cleaning_stream
 from . import analysis as Q
 from . import views as V
@@ -42,9 +47,15 @@ class Tables:
     """Raw and cleaned tables of one TESTDATA scale factor (lazy plans)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
         self.raw = fixtures.raw_transactions(spark, sf_dir)
         self.customers_raw = fixtures.raw_customers(spark, sf_dir)
 
+    def clean_columns(self, *columns: str) -> DataFrame:
+        """The cleaned fact for a plan that reads it twice: these columns only,
+        behind one shared shuffle."""
+        return clean_transactions(self.raw, columns=columns)
+
     def upto(self, step: str, **kw) -> DataFrame:
         return clean_transactions(self.raw, upto=step, **kw)
 
@@ -65,6 +76,15 @@ class Tables:
         return V.clean_fact(self.clean)
 
 
+    @property
+    def shared_fact(self) -> DataFrame:
+        return V.clean_fact(self.clean_columns(*FACT_COLUMNS))
+
+
+#: What ``clean_fact`` reads.
+FACT_COLUMNS = ("customer_id", "customer_name", "transaction_date_clean", "amount_clean", "currency", "transaction_type",
+                "merchant_name", "category", "status", "location", "notes")
+
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
@@ -164,17 +184,61 @@ def _clean(t: Tables):
     return t.clean
 
 
+@query("clean_transactions_on_error_null")
+def _clean_null(t: Tables):
+    """Junk amounts and impossible dates become NULL instead of raising."""
+    return clean_transactions(fixtures.raw_transactions(t.spark, t.sf_dir, junk=True), on_error="null")
+
+
+def _shared(t: Tables, name: str) -> str:
+    return f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("a3_load_raw_csv")
+def _a3(t: Tables):
+    """A3: the raw rows land as CSV files of the 13 columns in three arrivals
+    (few originals, the other originals, every re-sent copy), are loaded as
+    text and cleaned; without ``ingest_seq`` the files' own order decides which
+    copy came first. Rows without an id are left out: parallel writers give
+    them no first arrival that SQL could name."""
+    path = _shared(t, "csv")
+    few = F.expr("ingest_seq = 1 AND k % 10 = 0")
+    named = t.raw.where("transaction_id IS NOT NULL")
+    for arrival in (named.where(few), named.where(~few & (F.col("ingest_seq") == 1)), named.where("ingest_seq = 2")):
+        # Rows of one id are in one partition; a few ids come twice in one arrival, the smaller amount text first.
+        (arrival.sortWithinPartitions("amount", "transaction_date", "k").select(*RAW_TEXT_COLUMNS)
+         .write.mode("append").option("header", "true").option("nullValue", "\\N")
+         .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path))
+    return clean_transactions(load_raw(t.spark, path, fmt="csv", nullValue="\\N")).drop("ingest_seq", "k")
+
+
+@query("a8_views_by_name")
+def _a8(t: Tables):
+    """The view stack registered, listed, and each view read by name."""
+    names = register_views(build_views(t.raw, t.customers_raw))
+    rows = reduce(DataFrame.unionByName, (
+        t.spark.sql(f"SELECT '{name}' AS view_name, count(*) AS view_rows FROM {name}") for name in names))
+    return list_views(t.spark).join(rows, "view_name")
+
+
+@query("a10_write_and_read_clean_fact")
+def _a10(t: Tables):
+    """A10: the cleaned fact through its sink and back."""
+    path = _shared(t, "clean-fact")
+    write_clean_fact(t.clean, path)
+    return read_clean_fact(t.spark, path)
+
+
 @query("s01_incremental_clean")
 def _s01(t: Tables):
     """The streaming form of the pipeline: the raw rows land as two file
-    arrivals (half of the originals, then the rest with every re-sent copy)
+    arrivals (half of the originals and all without an id, then the rest with every re-sent copy)
     in the shared checkpoint folder, the stream cleans both, and the result
     must equal the batch pipeline (first arrival wins across batches)."""
-    import uuid
-    spark = t.raw.sparkSession
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/incremental-{uuid.uuid4().hex}"
+    spark = t.spark
+    base = _shared(t, "incremental")
     raw_dir, out_dir, ckpt = f"{base}/raw", f"{base}/cleaned", f"{base}/_checkpoint"
-    first = F.expr("ingest_seq = 1 AND k % 2 = 0")
+    first = F.expr("ingest_seq = 1 AND (k % 2 = 0 OR transaction_id IS NULL)")
     for arrival in (t.raw.filter(first), t.raw.filter(~first)):
         arrival.write.mode("append").parquet(raw_dir)
         start_cleaning_stream(spark, raw_dir, out_dir, ckpt, available_now=True).awaitTermination()
@@ -359,7 +423,8 @@ def _q6(t: Tables):
 
 @query("q7_running_totals")
 def _q7(t: Tables):
-    return Q.running_totals(t.clean, t.customers, top=5, n=50)
+    clean = t.clean_columns("customer_id", "transaction_type", "transaction_date_clean", "merchant_name", "amount_clean", "notes")
+    return Q.running_totals(clean, t.customers, top=5, n=50)
 
 
 @query("q8a_customer_baseline")
@@ -369,7 +434,9 @@ def _q8a(t: Tables):
 
 @query("q8_sigma_outliers")
 def _q8(t: Tables):
-    return Q.sigma_outliers(t.clean, t.customers, k=3.0, min_history=10, n=20, round_baseline=True)
+    clean = t.clean_columns("customer_id", "transaction_type", "transaction_date_clean", "merchant_name", "category", "status",
+                            "amount_clean", "notes")
+    return Q.sigma_outliers(clean, t.customers, k=3.0, min_history=10, n=20, round_baseline=True)
 
 
 # -- views and dashboard feeds ---------------------------------------------------------
@@ -401,12 +468,12 @@ def _v5(t: Tables):
 
 @query("v6_flagged_transactions")
 def _v6(t: Tables):
-    return V.vw_flagged_transactions(t.fact)
+    return V.vw_flagged_transactions(t.shared_fact)
 
 
 @query("v6_flagged_nonblank_notes")
 def _v6b(t: Tables):
-    return V.vw_flagged_transactions(t.fact, nonblank_flags_only=True)
+    return V.vw_flagged_transactions(t.shared_fact, nonblank_flags_only=True)
 
 
 @query("v7_clean_transactions_count")
@@ -426,12 +493,12 @@ def _v7c(t: Tables):
 
 @query("v7_flagged_count")
 def _v7d(t: Tables):
-    return V.view_row_count(V.vw_flagged_transactions(t.fact), "flagged_transactions")
+    return V.view_row_count(V.vw_flagged_transactions(t.shared_fact), "flagged_transactions")
 
 
 @query("k1_kpi_summary")
 def _k1(t: Tables):
-    return V.kpi_summary(t.fact)
+    return V.kpi_summary(t.shared_fact)
 
 
 @query("k2_monthly_debit_line")

@@ -12,9 +12,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings that matter for correctness and for the plans this library expects.
-# Everything else is left to the cluster defaults.
-BASE_CONF = {
+# Settings that matter for correctness and for the plans this library expects;
+# all can be set on a running session. The rest is left to the cluster defaults.
+RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
@@ -24,6 +24,9 @@ BASE_CONF = {
     # Spark docs recommend this on HotSpot): the cleaning projection fused
     # with a scan can outgrow it, and an uncompiled method runs interpreted.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+BASE_CONF = {
+    **RUNTIME_CONF,
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import clean_customers, clean_transactions
-from ..plans import views as V
 
 
 def build_views(transactions_raw: DataFrame, customers_raw: DataFrame, *, null_notes: str = "sql",
                 on_error: str = "fail") -> dict[str, DataFrame]:
     """The six reporting views as DataFrames, keyed by view name."""
+    from ..plans import views as V
     clean = clean_transactions(transactions_raw, null_notes=null_notes, on_error=on_error)
     customers = clean_customers(customers_raw)
     fact = V.clean_fact(clean)
@@ -34,6 +34,17 @@ def register_views(views: dict[str, DataFrame]) -> list[str]:
     return sorted(views)
 
 
+def store_views(spark: SparkSession, root: str, names) -> list[str]:
+    """A8, stored: create or replace a view of the catalog over each mart that
+    ``run_workflow`` has written under ``root/marts``, so that other sessions
+    see it too. (A stored view needs a saved table below it; the views of
+    ``register_views`` end with their session.)"""
+    for name in names:
+        path = f"{root.rstrip('/')}/marts/{name}".replace("`", "``")
+        spark.sql(f"CREATE OR REPLACE VIEW `{name}` AS SELECT * FROM parquet.`{path}`")
+    return sorted(names)
+
+
 def list_views(spark: SparkSession, prefix: str = "vw_") -> DataFrame:
     """The registered views, sorted by name."""
     return (spark.sql("SHOW VIEWS")

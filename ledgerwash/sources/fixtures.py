@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .schema import CUSTOMERS_SCHEMA, RAW_TRANSACTIONS_SCHEMA
+from .schema import CUSTOMERS_SCHEMA, MERCHANT_VARIANTS, RAW_TRANSACTIONS_SCHEMA
 
 # Fixed values of the fixture rules (FIXTURES.md §2), in rule order.
 MERCHANT_SPELLINGS = (
@@ -25,6 +25,8 @@ MERCHANT_SPELLINGS = (
     "KFC", "K.F.C Nigeria", "bolt ng", "MTN", "Jumia NG ", "D.S.T.V", "zenith-bank",
     "Netflix NG", "Air Peace", "Rent Payment",
 )
+# Every spelling the merchant rule knows comes after them.
+KNOWN_SPELLINGS = tuple(v for variants in MERCHANT_VARIANTS.values() for v in variants)
 CURRENCY_SPELLINGS = ("NGN", "ngn", "NGN ", "₦")
 ACCOUNT_TYPES = ("Savings", "Current", "Business", "Fixed Deposit")
 DUPLICATE_NOTE = "SUSPECTED DUPLICATE"
@@ -46,25 +48,12 @@ def _mod(c: Column, m: int) -> Column:
     return c % F.lit(m)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that has fewer partitions than the cluster has
-    task slots (a file with one row group is one task however large). Hash
-    partitioning is deterministic, so a retried task rebuilds the same rows
-    (round-robin would need a local sort for that). A scan that is already
-    parallel is returned unchanged: no extra shuffle."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view of the plan (e.g. Spark Connect): leave it to Spark
-        return df
-    if parts < slots:
-        return df.repartition(slots, key)
-    return df
-
-
-def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"), "l_orderkey")
+def raw_transactions(spark: SparkSession, sf_dir: str, junk: bool = False) -> DataFrame:
+    """The raw fact. ``junk`` adds amounts and dates that no strict cast takes."""
+    # Spread by the key of the join that follows: a file with one row group is
+    # one task however large.
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice").repartition("l_orderkey")
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey", "o_custkey", "o_orderdate")
     rows = lineitem.join(orders, lineitem.l_orderkey == orders.o_orderkey, "inner")
@@ -94,24 +83,34 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(layout == 0, F.concat_ws("-", yy, mm, dd))
         .when(layout == 1, F.concat_ws("/", yy, mm, dd))
         .when(layout == 2, F.concat_ws("/", dd, mm, yy))
+        .when((layout == 3) & (_mod(k, 2) == 0), F.concat_ws("-", mm, dd, yy))
         .when(layout == 3, F.concat_ws("-", dd, mm, yy))
         .when(layout == 4, F.concat_ws("/", mm, dd, yy))
         .when(layout == 5, F.concat_ws(" ", month_abbrev, dd, yy))
         .otherwise(F.concat(dd, F.lit(" "), month_name, F.lit(", "), yy)))
 
+    transaction_date = F.when(_mod(k, 911) != 0, transaction_date)
+    if junk:
+        transaction_date = F.when(_mod(k, 503) == 0, F.lit("2023-02-30")).otherwise(transaction_date)
+
     price = F.col("l_extendedprice").cast("decimal(15,2)")
     amount = (F.when(_mod(k, 331) == 0, F.lit("N/A"))
               .when(_mod(k, 119) == 0, F.lit("0.00"))
               .when(_mod(k, 1009) == 0, F.lit(" 0 "))
               .when(_mod(k, 101) == 0, _s(price * F.lit(20)))
               .otherwise(_s(price)))
+    amount = F.when(_mod(k, 887) != 0, amount)
+    if junk:
+        amount = F.when(_mod(k, 499) == 0, F.lit("12,50 NGN")).otherwise(amount)
 
     kind = _mod(k, 10)
-    transaction_type = (F.when(kind <= 2, F.lit("debit")).when(kind <= 5, F.lit("DEBIT"))
+    transaction_type = (F.when(_mod(k, 71) == 0, F.lit(None).cast("string")).when(_mod(k, 73) == 0, F.lit(" "))
+                        .when(kind <= 2, F.lit("debit")).when(kind <= 5, F.lit("DEBIT"))
                         .when(kind <= 7, F.lit(" Debit")).otherwise(F.lit("Credit")))
-    m = _mod(k, 23)
+    m = _mod(k, 67)
     merchant = (F.when(m < len(MERCHANT_SPELLINGS), _pick(m, MERCHANT_SPELLINGS))
                 .when(m == 16, F.lit(None).cast("string"))
+                .when(m < 17 + len(KNOWN_SPELLINGS), _pick(m - 17, KNOWN_SPELLINGS))
                 .otherwise(F.concat(F.lit("Merchant "), _s(m))))
     category = (F.when(_mod(k, 25) == 0, F.lit(None).cast("string"))
                 .when(_mod(k, 53) == 0, F.lit(""))
@@ -125,7 +124,8 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer_name = (F.when(_mod(k, 37) == 0, F.lit(None).cast("string"))
                      .when(_mod(k, 5) == 0, F.concat(F.lit("  Customer   "), ck, F.lit(" ")))
                      .otherwise(F.concat(F.lit("Customer "), ck)))
-    base_notes = F.when(_mod(k, 4) == 1, F.lit(None).cast("string")).otherwise(F.lit(""))
+    base_notes = (F.when(_mod(k, 4) == 1, F.lit(None).cast("string"))
+                  .when(_mod(k, 47) == 0, F.lit("paid at the counter")).otherwise(F.lit("")))
 
     # A row with k % 61 == 0 arrives twice; the second copy carries a note.
     seq = F.explode(F.when(_mod(k, 61) == 0, F.array(F.lit(1), F.lit(2)))
@@ -134,9 +134,12 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = F.when(F.col("ingest_seq") == 2, F.lit(DUPLICATE_NOTE)).otherwise(base_notes)
 
     out = rows.select(
-        F.concat_ws("-", F.lit("TXN"), _s(F.col("l_orderkey")), _s(F.col("l_linenumber")),
-                    _s(F.col("l_partkey")), _s(F.col("l_suppkey"))).alias("transaction_id"),
-        F.concat(F.lit("CUST-"), F.lpad(ck, 6, "0")).alias("customer_id"),
+        F.when(_mod(k, 1201) != 0, F.concat_ws("-", F.lit("TXN"), _s(F.col("l_orderkey")), _s(F.col("l_linenumber")),
+                                               _s(F.col("l_partkey")), _s(F.col("l_suppkey")))).alias("transaction_id"),
+        # Some rows name no customer, or one that the dimension does not have.
+        F.when(_mod(k, 1301) == 0, F.lit(None).cast("string"))
+         .when(_mod(k, 97) == 0, F.concat(F.lit("GONE-"), F.lpad(ck, 6, "0")))
+         .otherwise(F.concat(F.lit("CUST-"), F.lpad(ck, 6, "0"))).alias("customer_id"),
         customer_name.alias("customer_name"),
         F.when(_mod(k, 41) == 0, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("AC"), F.lpad(ck, 8, "0"))).alias("account_number"),
@@ -162,7 +165,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     kt = _s(key)
     name = F.col("c_name")
     null = F.lit(None).cast("string")
-    out = c.filter(_mod(key, 97) != 0).select(
+    out = c.select(
         F.concat(F.lit("CUST-"), F.lpad(kt, 6, "0")).alias("customer_id"),
         F.when(_mod(key, 29) == 0, null)
          .when(_mod(key, 4) == 0, F.concat(F.lit("  "), name, F.lit("  x ")))

@@ -79,7 +79,6 @@ FUTURE_YEARS = ("2025", "2026", "2027")
 DEBIT = "debit"
 CREDIT = "credit"
 REVERSED = "reversed"
-COMPLETED = "completed"
 AMOUNT_TYPE = T.DecimalType(15, 2)
 
 # Merchant canonicalisation: canonical name -> spellings, matched on

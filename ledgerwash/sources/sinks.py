@@ -11,24 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_clean_fact(clean: DataFrame, path: str, mode: str = "overwrite",
-                     files_per_month: int | None = None) -> None:
+def _write_by_month(df: DataFrame, date_col: str, path: str, mode: str) -> None:
+    """Parquet in ``year_month`` folders. The rebalance hint lets AQE size the
+    writing tasks by data: a large month is split over several, small months
+    share one, so the number of files follows the size of the data and not
+    the number of tasks."""
+    out = df.withColumn("year_month", F.date_format(date_col, "yyyy-MM"))
+    out.hint("rebalance", F.col("year_month")).write.mode(mode).partitionBy("year_month").parquet(path)
+
+
+def write_clean_fact(clean: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Persist the cleaned fact partitioned by month of the clean date
     (``year_month``), so month filters prune files. Rows without a clean date
-    land in the ``__HIVE_DEFAULT_PARTITION__`` partition.
-
-    A month can hold a large share of the rows, so it is never sent whole to
-    one task: by default every task writes its own rows, sorted by month so
-    it keeps one file open at a time; with ``files_per_month`` the rows are
-    shuffled to (month, hash of id) so each month gets that many files.
-    """
-    out = clean.withColumn("year_month", F.date_format("transaction_date_clean", "yyyy-MM"))
-    if files_per_month:
-        salt = F.pmod(F.xxhash64("transaction_id"), F.lit(files_per_month))
-        out = out.repartition("year_month", salt)
-    else:
-        out = out.sortWithinPartitions("year_month")
-    out.write.mode(mode).partitionBy("year_month").parquet(path)
+    land in the ``__HIVE_DEFAULT_PARTITION__`` partition."""
+    _write_by_month(clean, "transaction_date_clean", path, mode)
 
 
 def read_clean_fact(spark: SparkSession, path: str, months=None) -> DataFrame:
@@ -46,17 +42,15 @@ def write_marts(marts: dict[str, DataFrame], root: str, mode: str = "overwrite",
                 by_month: dict[str, str] | None = None) -> list[str]:
     """Write each mart as parquet under ``root/<name>``. Row-level marts
     named in ``by_month`` (name -> date column) are partitioned by
-    ``year_month`` so BI readers prune by month; each task writes its own
-    rows, sorted by month (no month goes whole to one task)."""
+    ``year_month`` so BI readers prune by month."""
     written = []
     for name, df in marts.items():
+        path = f"{root.rstrip('/')}/{name}"
         date_col = (by_month or {}).get(name)
         if date_col:
-            (df.withColumn("year_month", F.date_format(date_col, "yyyy-MM"))
-             .sortWithinPartitions("year_month")
-             .write.mode(mode).partitionBy("year_month").parquet(f"{root.rstrip('/')}/{name}"))
+            _write_by_month(df, date_col, path, mode)
         else:
-            df.write.mode(mode).parquet(f"{root.rstrip('/')}/{name}")
+            df.write.mode(mode).parquet(path)
         written.append(name)
     return written
 

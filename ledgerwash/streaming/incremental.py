@@ -4,67 +4,68 @@ Raw files landing in a folder are cleaned batch by batch and appended to a
 cleaned table. Deduplication keeps the first arrival of every
 ``transaction_id`` over the whole stream:
 
-* inside a micro-batch, the same window rule as the batch pipeline
-  (``dedup_first``: lowest ``ingest_seq``, then the tie-break columns);
-* across micro-batches, an anti join (null-safe, so NULL ids form one group
-  like in the batch rule) against the ids already written by earlier
-  batches, read column-pruned from the output table. When the micro-batch
-  has at most ``broadcast_rows`` rows (counted: a proven bound), its ids
-  are broadcast to semi-filter the history (a scan, no shuffle of the
-  history) and the few hits, at most one per batch id, are broadcast to the
-  anti join; a larger batch falls back to a shuffled anti join.
-
-Each batch writes its own ``batch_id=N`` partition with dynamic partition
-overwrite, so a batch replayed after a failure (the checkpoint records
-progress, the sink is idempotent per batch) replaces its own output instead
-of appending twice, and only ids of batches below N count as seen.
+* inside a micro-batch, the same rule as the batch pipeline (``dedup_first``,
+  by ``ingest_seq`` or the place in the files);
+* across micro-batches, a null-safe anti join (NULL ids form one group like in
+  the batch rule) against the ids that the output already holds, read
+  column-pruned. Spark picks the join by its own size estimates.
+
+Each batch writes the partition ``run_id=R/batch_id=N`` with dynamic partition
+overwrite. R is stored in the checkpoint folder: a batch replayed after a
+failure replaces its own output instead of appending twice, while a stream
+that starts from a new checkpoint gets a new R, overwrites nothing, and counts
+everything that earlier runs wrote as seen.
 """
 
 from __future__ import annotations
 
-import os
+import uuid
 
-from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.cleaning import DEFAULT_DEDUP_ORDER, clean_transactions, dedup_first
+from ..operators.cleaning import DEFAULT_DEDUP_ORDER, clean_transactions
+from ..sources.raw import PLACE, with_arrival
 from ..sources.schema import RAW_TRANSACTIONS_SCHEMA
 
 BATCH_COLUMN = "batch_id"
+RUN_COLUMN = "run_id"
+_SEEN_SCHEMA = f"transaction_id string, {RUN_COLUMN} string, {BATCH_COLUMN} bigint"
 
 
-def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+def _path(spark: SparkSession, path: str):
+    """(file system, path) of the JVM, for any scheme."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def clean_batch(batch: DataFrame, batch_id: int, output_path: str, *, null_notes: str = "sql",
-                on_error: str = "fail", dedup_order=DEFAULT_DEDUP_ORDER,
-                broadcast_rows: int = 1_000_000) -> None:
-    """Clean one micro-batch and write it as partition ``batch_id``."""
+def run_id(spark: SparkSession, checkpoint_path: str) -> str:
+    """The id that belongs to a checkpoint folder; made on first use."""
+    fs, p = _path(spark, f"{checkpoint_path.rstrip('/')}/ledgerwash_run_id")
+    if fs.exists(p):
+        return spark.read.text(p.toString()).first()[0]
+    new = uuid.uuid4().hex
+    out = fs.create(p, False)
+    out.write(bytearray(new.encode()))
+    out.close()
+    return new
+
+
+def clean_batch(batch: DataFrame, batch_id: int, output_path: str, run: str, *, null_notes: str = "sql",
+                on_error: str = "fail", dedup_order=DEFAULT_DEDUP_ORDER) -> None:
+    """Clean one micro-batch and write it as partition ``run``, ``batch_id``."""
     spark = batch.sparkSession
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fresh = dedup_first(batch, "transaction_id", dedup_order)
-        history = _read_if_exists(spark, output_path)
-        if history is not None:
-            seen = history.filter(F.col(BATCH_COLUMN) < batch_id).select(F.col("transaction_id").alias("_seen_id"))
-            if batch.count() <= broadcast_rows:
-                ids = fresh.select(F.col("transaction_id").alias("_batch_id"))
-                seen = seen.join(F.broadcast(ids), F.col("_seen_id").eqNullSafe(F.col("_batch_id")), "left_semi")
-                seen = F.broadcast(seen)
-            fresh = fresh.join(seen, fresh["transaction_id"].eqNullSafe(seen["_seen_id"]), "left_anti")
-        cleaned = clean_transactions(fresh, null_notes=null_notes, on_error=on_error, dedup=False)
-        (cleaned.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("bigint"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(BATCH_COLUMN).parquet(output_path))
-    finally:
-        batch.unpersist()
+    fresh = clean_transactions(batch, null_notes=null_notes, on_error=on_error, dedup_order=dedup_order)
+    fs, p = _path(spark, output_path)
+    if fs.exists(p):  # any other problem with the history must fail the batch, not count as no history
+        history = spark.read.schema(_SEEN_SCHEMA).parquet(output_path)
+        seen = history.where((F.col(RUN_COLUMN) != run) | (F.col(BATCH_COLUMN) < batch_id)).select(
+            F.col("transaction_id").alias("_seen_id"))
+        fresh = fresh.join(seen, fresh["transaction_id"].eqNullSafe(seen["_seen_id"]), "left_anti")
+    (fresh.withColumn(RUN_COLUMN, F.lit(run)).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("bigint"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(RUN_COLUMN, BATCH_COLUMN).parquet(output_path))
 
 
 def start_cleaning_stream(spark: SparkSession, raw_path: str, output_path: str, checkpoint_path: str, *,
@@ -81,10 +82,11 @@ def start_cleaning_stream(spark: SparkSession, raw_path: str, output_path: str,
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     for key, value in reader_options.items():
         reader = reader.option(key, value)
-    raw = reader.load(raw_path)
+    raw = reader.load(raw_path).select("*", *(F.col(f"_metadata.{c}").alias(c) for c in PLACE))
+    own_run = run_id(spark, checkpoint_path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        clean_batch(batch, batch_id, output_path, null_notes=null_notes, on_error=on_error)
+        clean_batch(with_arrival(batch), batch_id, output_path, own_run, null_notes=null_notes, on_error=on_error)
 
     writer = raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_path)
     if available_now:
@@ -95,10 +97,4 @@ def start_cleaning_stream(spark: SparkSession, raw_path: str, output_path: str,
 
 
 def read_cleaned(spark: SparkSession, output_path: str) -> DataFrame:
-    return spark.read.parquet(output_path).drop(BATCH_COLUMN)
-
-
-def default_paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    """(output, checkpoint) folders under the session's shared checkpoint dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return os.path.join(base, name, "cleaned"), os.path.join(base, name, "_stream_checkpoint")
+    return spark.read.parquet(output_path).drop(RUN_COLUMN, BATCH_COLUMN)

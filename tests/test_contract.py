@@ -38,7 +38,7 @@ def test_write_and_read_clean_fact_and_marts(spark, tables, tmp_path_factory):
     from ledgerwash.session import ensure_checkpoint_dir
     base = ensure_checkpoint_dir(spark)
     path = f"{base}/test-clean-fact"
-    write_clean_fact(tables.clean, path, files_per_month=2)
+    write_clean_fact(tables.clean, path)
     back = read_clean_fact(spark, path)
     assert back.count() == tables.clean.count()
     assert sorted(back.columns) == sorted(tables.clean.columns)

@@ -90,11 +90,18 @@ def test_c13_amount_cast_rounding_and_null_notes_modes(spark):
     assert empty[3] == Decimal("5.00")
 
 
+def _dated(spark, *texts, on_error="null", notes=""):
+    """transaction_date_clean of the pipeline for raw date texts."""
+    raw = tx(spark, *(dict(transaction_id=f"{i:03d}", transaction_date=t, notes=notes) for i, t in enumerate(texts)))
+    rows = clean_transactions(raw, on_error=on_error).select("transaction_id", "transaction_date_clean").collect()
+    return [r.transaction_date_clean for r in sorted(rows)]
+
+
 def test_c13_junk_fails_or_nulls(spark):
-    df = spark.createDataFrame([("abc", "")], "amount string, notes string")
+    raw = tx(spark, dict(amount="abc"))
     with pytest.raises(PySparkException):
-        df.select(amounts.clean_amount("amount", "notes", on_error="fail")).collect()
-    assert _vals(df, amounts.clean_amount("amount", "notes", on_error="null")) == [None]
+        clean_transactions(raw, on_error="fail").select("amount_clean").collect()
+    assert clean_transactions(raw, on_error="null").first().amount_clean is None
 
 
 def test_c14_reversal_sign(spark):
@@ -114,23 +121,20 @@ DATE_CASES = [
 ]
 
 
-@pytest.mark.parametrize("text_value,expected", DATE_CASES)
-def test_c15_branches(spark, text_value, expected):
-    df = spark.createDataFrame([(text_value, "")], "d string, notes string")
-    assert _vals(df, dates.clean_date("d", "notes")) == [expected]
+def test_c15_branches(spark):
+    assert _dated(spark, *(t for t, _ in DATE_CASES), on_error="fail") == [d for _, d in DATE_CASES]
 
 
-@pytest.mark.parametrize("bad", ["05 Jan, 2024", "31/02/2024", "13-13-2024"])
-def test_c15_impossible_dates_fail_or_null(spark, bad):
-    df = spark.createDataFrame([(bad, "")], "d string, notes string")
-    with pytest.raises(PySparkException):
-        df.select(dates.clean_date("d", "notes", on_error="fail")).collect()
-    assert _vals(df, dates.clean_date("d", "notes", on_error="null")) == [None]
+def test_c15_impossible_dates_fail_or_null(spark):
+    bad = ["05 Jan, 2024", "31/02/2024", "13-13-2024"]
+    for text_value in bad:
+        with pytest.raises(PySparkException):
+            _dated(spark, text_value, on_error="fail")
+    assert _dated(spark, *bad) == [None] * 3
 
 
 def test_c15_future_flagged_rows_stay_null(spark):
-    df = spark.createDataFrame([("2024-01-02", "x | " + FUTURE_FLAG)], "d string, notes string")
-    assert _vals(df, dates.clean_date("d", "notes")) == [None]
+    assert _dated(spark, "2024-01-02", notes="x | " + FUTURE_FLAG) == [None]
 
 
 def test_q2a_text_period(spark):
@@ -168,16 +172,52 @@ def test_no_python_udfs_in_cleaning_plan(tables):
 
 def test_dedup_plan_has_one_exchange_and_map_side_step(tables):
     plan = tables.dedup._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan
+    assert "WindowGroupLimit" in plan and "Partial" in plan
     assert plan.count("Exchange hashpartitioning(transaction_id") == 1
 
 
-def test_two_branch_report_reuses_the_dedup_exchange(tables):
+def test_dedup_exchange_is_pruned(tables):
+    from ledgerwash.plans import views as V
+    plan = V.completion_rate(tables.clean)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    at = next(i for i, line in enumerate(lines) if "Exchange hashpartitioning(transaction_id" in line)
+    below = " ".join(lines[at:at + 6])
+    assert not any(c in below for c in ("customer_name", "merchant_name", "location", "currency", "account_number"))
+    assert "SortAggregate" not in plan
+
+
+def test_two_branch_report_computes_the_dedup_once(spark):
+    from ledgerwash.plans.registry import REGISTRY
+    for name in ("v6_flagged_transactions", "q7_running_totals", "q8_sigma_outliers", "k1_kpi_summary"):
+        df = REGISTRY[name](spark, "/root/testdata/sf0.001")
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        computed = [line for line in plan.split("\n") if "Exchange hashpartitioning(transaction_id" in line and "Reused" not in line]
+        assert len(computed) == 1, name
+        assert "ReusedExchange" in plan, name
+
+
+def test_columns_give_the_same_rows_as_the_window(tables):
+    wide = tables.clean
+    narrow = tables.clean_columns("customer_id", "amount_clean", "notes")
+    assert narrow.columns == ["transaction_id", "customer_id", "amount_clean", "notes"]
+    want = wide.select(narrow.columns)
+    assert narrow.exceptAll(want).count() == want.exceptAll(narrow).count() == 0
+
+
+def test_rows_without_arrival_order_raise(spark):
+    raw = tx(spark, dict(ingest_seq=None, amount="900.00"), dict(ingest_seq=None, amount="10.00"))
+    with pytest.raises(PySparkException, match="no arrival order"):
+        clean_transactions(raw).collect()
+    with pytest.raises(ValueError, match="no arrival order"):
+        clean_transactions(raw.drop("ingest_seq"))
+
+
+def test_v4_does_not_expand_fact_rows(tables):
     from ledgerwash.plans import views as V
-    df = V.vw_flagged_transactions(tables.fact)
-    df.collect()
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReusedExchange" in plan
+    plan = V.vw_customer_summary(tables.fact, tables.customers)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    expand = next(i for i, line in enumerate(plan) if "Expand" in line)
+    assert any("Aggregate [customer_id" in line and "merchant_name" in line for line in plan[expand + 1:])
 
 
 def test_money_helpers_are_exact(spark):
@@ -208,13 +248,13 @@ def test_strict_cast_fails_only_for_kept_rows(spark):
         clean_transactions(bad_date).select("transaction_date_clean").collect()
 
 
-def test_analysis_filters_stay_above_the_dedup_aggregate(tables):
+def test_analysis_filters_stay_above_the_dedup(tables):
     from ledgerwash.plans import analysis as Q
     plan = Q.spend_by_category(tables.clean)._jdf.queryExecution().optimizedPlan().toString()
     # The filter on derived columns must not be pushed into the cleaning
-    # expressions below the dedup aggregate (it would recompute them).
+    # expressions below the dedup (it would recompute them).
     lines = plan.split("\n")
     filt = next(i for i, l in enumerate(lines) if "Filter" in l and "amount_clean" in l)
-    agg = next(i for i, l in enumerate(lines) if "Aggregate [transaction_id" in l)
-    assert filt < agg
+    window = next(i for i, l in enumerate(lines) if "Window [row_number" in l)
+    assert filt < window
     assert "ZERO AMOUNT — EXCLUDE" not in lines[filt]

@@ -46,7 +46,7 @@ def test_dedup_exchange_is_pre_reduced(spark):
     df = clean_transactions(raw, upto="C1")
     df.write.format("noop").mode("overwrite").save()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan
+    assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
 def test_hot_customer_reports_are_exact(spark):

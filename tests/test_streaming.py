@@ -18,10 +18,10 @@ def test_stream_matches_batch_pipeline(spark, tables):
     # First arrival: half of the originals; second: the other half plus all
     # re-sent copies (some of ids from the first arrival, some of their own).
     # The same folder and checkpoint across both runs, as for a live stream.
-    raw.filter("ingest_seq = 1 AND k % 2 = 0").coalesce(2).write.mode("append").parquet(raw_dir)
+    raw.filter("ingest_seq = 1 AND (k % 2 = 0 OR transaction_id IS NULL)").coalesce(2).write.mode("append").parquet(raw_dir)
     first = start_cleaning_stream(spark, raw_dir, out_dir, ckpt, available_now=True)
     first.awaitTermination(300)
-    raw.filter("NOT (ingest_seq = 1 AND k % 2 = 0)").write.mode("append").parquet(raw_dir)
+    raw.filter("NOT (ingest_seq = 1 AND (k % 2 = 0 OR transaction_id IS NULL))").write.mode("append").parquet(raw_dir)
     second = start_cleaning_stream(spark, raw_dir, out_dir, ckpt, available_now=True)
     second.awaitTermination(300)
     batches = [r[0] for r in spark.read.parquet(out_dir).select("batch_id").distinct().collect()]
@@ -35,3 +35,41 @@ def test_stream_matches_batch_pipeline(spark, tables):
         batch.select(cols).exceptAll(streamed.select(cols)).count()
     assert diff == 0
     assert streamed.groupBy("transaction_id").count().filter(F.col("count") > 1).count() == 0
+
+
+def _drained(spark, raw_dir, out_dir, ckpt):
+    query = start_cleaning_stream(spark, raw_dir, out_dir, ckpt, available_now=True)
+    query.awaitTermination(300)
+
+
+def test_a_replaced_checkpoint_loses_nothing_and_repeats_nothing(spark, tables):
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex[:8]}")
+    raw_dir, out_dir = f"{base}/raw", f"{base}/out"
+    first = F.expr("ingest_seq = 1 AND (k % 2 = 0 OR transaction_id IS NULL)")
+    tables.raw.filter(first).coalesce(2).write.mode("append").parquet(raw_dir)
+    _drained(spark, raw_dir, out_dir, f"{base}/ckpt-1")
+    before = read_cleaned(spark, out_dir).count()
+    tables.raw.filter(~first).write.mode("append").parquet(raw_dir)
+    _drained(spark, raw_dir, out_dir, f"{base}/ckpt-2")  # batch ids begin at 0 again, over all files
+    after = read_cleaned(spark, out_dir)
+    assert before < after.count() == tables.clean.count()
+    assert after.groupBy("transaction_id").count().filter("count > 1").count() == 0
+
+
+def test_a_replayed_batch_replaces_itself(spark, tables):
+    from ledgerwash.streaming.incremental import clean_batch, run_id
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex[:8]}")
+    run = run_id(spark, f"{base}/ckpt")
+    assert run == run_id(spark, f"{base}/ckpt") != run_id(spark, f"{base}/other")
+    for _ in range(2):
+        clean_batch(tables.raw, 0, f"{base}/out", run)
+    assert read_cleaned(spark, f"{base}/out").count() == tables.clean.count()
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    import pytest
+    from types import SimpleNamespace as N
+    conf = N(get=lambda *_: None)
+    context = N(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(N(conf=conf, sparkContext=context))
