@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerwash.llm import ann, chat, decontam, extract, graph, licenses, packing, pii, simhash, toxicity, urlfilter
-from test_queries import brute_components, brute_fingerprint, brute_spans, check_pieces
+from test_llm_queries import brute_components, brute_fingerprint, brute_spans, check_pieces
 
 DOCS = ("doc_id bigint, text string, lang string, id string, mark string, size string, fp string, n string, row string, "
         "word string, component_id string")
