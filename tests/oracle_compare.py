@@ -32,7 +32,7 @@ def rows_of(cols, records):
     return Counter(tuple(_norm(r[i]) for i in order) for r in records)
 
 
-def compare(spark, con, name, spark_fn, sql, sf_dir):
+def compare(spark, con, name, spark_fn, sql, sf_dir, ordered=False):
     sdf = spark_fn(spark, sf_dir)
     s_cols = sdf.columns
     s_rows = [tuple(r) for r in sdf.collect()]
@@ -50,4 +50,6 @@ def compare(spark, con, name, spark_fn, sql, sf_dir):
             only_s = list((a - b).elements())[:3]
             only_d = list((b - a).elements())[:3]
             problems.append(f"values differ: spark-only={only_s} duck-only={only_d}")
+        elif ordered and [tuple(r[s_cols.index(c)] for c in d_cols) for r in s_rows] != d_rows:
+            problems.append("same rows in another order")
     return len(s_rows), problems
