@@ -11,9 +11,14 @@ from ..operators.cleaning import clean_customers, clean_transactions
 def build_views(transactions_raw: DataFrame, customers_raw: DataFrame, *, null_notes: str = "sql",
                 on_error: str = "fail") -> dict[str, DataFrame]:
     """The six reporting views as DataFrames, keyed by view name."""
-    from ..plans import views as V
     clean = clean_transactions(transactions_raw, null_notes=null_notes, on_error=on_error)
-    customers = clean_customers(customers_raw)
+    return views_over(clean, clean_customers(customers_raw))
+
+
+def views_over(clean: DataFrame, customers: DataFrame) -> dict[str, DataFrame]:
+    """The six views over a cleaned fact (a saved one, if several will be read:
+    each view is a plan of its own) and cleaned customers."""
+    from ..plans import views as V
     fact = V.clean_fact(clean)
     return {
         "vw_clean_transactions": V.vw_clean_transactions(clean, customers),
