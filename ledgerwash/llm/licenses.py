@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerwash.llm.memo import Memo
+from ledgerwash.llm.memo import Memo, forgetful
 from ledgerwash.llm.rowkey import KEY, key_columns, with_key
 from ledgerwash.llm.scratch import written
 
@@ -73,6 +73,7 @@ def kgrams(k: int):
     """UDF: the 128-bit hash of each run of ``k`` words of a text. ``bytes.lower``
     lower-cases A-Z only; every byte of a non-ASCII character is a word's."""
     @F.arrow_udf(_GRAMS)
+    @forgetful
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known = Memo(xxhash.xxh3_128_digest, _WORDS)
         for batch in batches:

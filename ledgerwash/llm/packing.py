@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ledgerwash.llm.memo import Memo, forgetful
+
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
@@ -49,7 +51,7 @@ _LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 # str.split() also splits at these four, which are no white space to the tokenizer.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
-_CACHED = {"words": 400_000, "units": 1_000_000}
+_WORDS, _UNITS = 120_000, 350_000  # remembered by a task
 
 
 class WordTokenizer:
@@ -61,37 +63,34 @@ class WordTokenizer:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in byte-level BPE
         rest = iter(range(256, 512))
         self.byte_chars = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
-        self.words: dict[str, bytes] = {}  # ids as 4-byte unsigned integers
-        self.units: dict[str, bytes] = {}
+        self.units = Memo(self._unit, _UNITS)  # ids as 4-byte unsigned integers
+        self.words = Memo(self._word, _WORDS)
 
     def _unit(self, unit: str) -> bytes:
-        ids = self.units.get(unit)
-        if ids is None:
-            chars = unit if unit.isascii() else "".join(map(self.byte_chars.__getitem__, unit.encode()))
-            ids = self.units[unit] = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
-        return ids
+        chars = unit if unit.isascii() else "".join(map(self.byte_chars.__getitem__, unit.encode()))
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
     def _word(self, word: str) -> bytes:
         letters = word.rstrip(_MARKS)
         if letters.isascii() and letters.isalpha() or _LETTERS.fullmatch(letters):
             marks = word[len(letters):]
-            return self._unit(letters.lower()) + self._unit(marks) if marks else self._unit(letters.lower())
+            return self.units[letters.lower()] + self.units[marks] if marks else self.units[letters.lower()]
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.units.clear()
+
     def ids(self, text: str) -> np.ndarray:
         words = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
-        for name, most in _CACHED.items():
-            if len(getattr(self, name)) > most:
-                getattr(self, name).clear()
-        cache = self.words
-        for w in set(words).difference(cache):
-            cache[w] = self._word(w)
-        return np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
+        self.words.trim()
+        self.units.trim()
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.uint32)
 
 
 @lru_cache(maxsize=1)
 def _words(file: str) -> WordTokenizer:
-    """One for all tasks of a Python worker, so that its cache stays warm."""
+    """One for all tasks of a Python worker: its vocabulary takes a while to read."""
     return WordTokenizer(file)
 
 
@@ -178,6 +177,7 @@ class Packer:
 
 def _packed(tokenizer: str, capacity: int, end_id: int, chunk_tokens: int, carry_windows: int, with_ids: bool,
             schema: pa.Schema) -> Callable:
+    @forgetful
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = _words(tokenizer), Packer(capacity)
         sequence = TaskContext.get().partitionId() << 40
@@ -210,6 +210,7 @@ def _packed(tokenizer: str, capacity: int, end_id: int, chunk_tokens: int, carry
         yield from rows(packer.last())
         if out:
             yield flushed()
+        words.forget()
 
     return run
 

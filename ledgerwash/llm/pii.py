@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerwash.llm.memo import forgetful
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "login", "secret")
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
@@ -149,6 +151,7 @@ def _cleaned(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 @F.arrow_udf(SPANS)
+@forgetful
 def _spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     auto = _automaton()
     for batch in batches:
@@ -157,6 +160,7 @@ def _spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 @F.arrow_udf(T.StringType())
+@forgetful
 def _redacted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     auto = _automaton()
     for batch in batches:

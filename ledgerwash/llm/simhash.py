@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwash.llm.graph import components
+from ledgerwash.llm.memo import forgetful
 from ledgerwash.llm.scratch import written
 
 SHINGLE = 3
@@ -65,6 +66,7 @@ def _signed(x: int) -> int:
 def simhash(text: Column, shingle: int = SHINGLE) -> Column:
     """Fingerprint of a text column as a (signed) long."""
     @F.arrow_udf(T.LongType())
+    @forgetful
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([_signed(fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle))

@@ -30,12 +30,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerwash.llm.memo import Memo, forgetful
+
 BITS = 20
-PER_CLASS = 8_000
+PER_CLASS = 5_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIR, _SKIP = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_CACHED = 500_000
+_WORDS = 60_000  # remembered by a task
 
 
 class Hasher:
@@ -43,16 +45,12 @@ class Hasher:
 
     def __init__(self, bits: int = BITS):
         self.shift = np.uint64(64 - bits)
-        self.known: dict[str, int] = {}
+        self.known = Memo(xxhash.xxh64_intdigest, _WORDS)
 
     def _words(self, text: str) -> np.ndarray:
         words = _WORD.findall(text.lower())
-        if len(self.known) > _CACHED:
-            self.known.clear()
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        self.known.trim()
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
 
     def buckets(self, text: str) -> np.ndarray:
         """Bucket of each word, pair and skip pair, with repeats."""
@@ -118,6 +116,7 @@ def held_out(doc_id: Column) -> Column:
 
 def _distinct_buckets(bits: int):
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @forgetful
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = Hasher(bits)
         for batch in batches:
@@ -139,11 +138,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .select("id", "label", _distinct_buckets(bits)(F.col("t")).alias("buckets"))
             .groupBy("id", "label").agg(F.min("buckets").alias("buckets")))
 
+    @forgetful
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         data = pd.concat([*frames, pd.DataFrame({"id": [], "label": [], "buckets": []})])
         data["order"] = [xxhash.xxh64_intdigest(str(i)) for i in data["id"]]
         data = data.sort_values(["order", "id"])
-        pairs = [(int(y), np.asarray(b, np.int64)) for y, b in zip(data["label"], data["buckets"], strict=True)]
+        pairs = [(int(y), np.asarray(b, np.int32)) for y, b in zip(data["label"], data["buckets"], strict=True)]
         if len({y for y, _ in pairs}) == 2:
             m = ftrl(pairs, bits)
             yield pd.DataFrame({"bucket": [m.bucket], "weight": [m.weight], "bias": [m.bias]})
@@ -158,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def toxicity_score(text: Column, model: Model) -> Column:
     """Score from 0 to 1 of a text column."""
     @F.arrow_udf(T.DoubleType())
+    @forgetful
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher, dense = Hasher(model.bits), model.dense()
         for batch in batches:
