@@ -100,8 +100,11 @@ def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
         F.struct(F.col("tree_id").alias("id")).alias("tree"), F.col("message_id").alias("msg"),
         F.col("parent_id").alias("parent"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    first = Window.partitionBy("tree", "msg").orderBy("parent", "role", "text", "score")
-    rows = rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    # Written once; the steps below read the narrow columns that they need, and the texts once.
+    rows = written(rows, "messages")
+    if not rows.groupBy("tree", "msg").count().where("count > 1").isEmpty():
+        first = Window.partitionBy("tree", "msg").orderBy("parent", "role", "text", "score")
+        rows = written(rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), "messages")
     walk = written(paths(rows), "paths")
     scored = walk.join(rows.select("tree", "msg", "score"), ["tree", "msg"]).groupBy("tree", "leaf").agg(
         F.avg("score").alias("score"), F.max("dist").alias("depth"))
