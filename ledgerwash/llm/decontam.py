@@ -2,9 +2,11 @@
 
 A window is as many five-word shingles of a document as an item has. Windows that
 can reach the similarity hold shingles of an item, so the shingles of all
-documents are first joined to the items' and give the alignments (document
-position less item position) at which item-sized windows start. Each distinct
-window gets a 64-bit SimHash of its shingles, repeats included, and is looked up
+documents are first joined to the items', and item-sized windows start at the
+shared shingles (or end where the document does). That covers windows at all
+places, whatever the order of the item's parts: a window that slides right to its
+first shared shingle loses none. Of these, windows with too few shared shingles
+for the similarity are left out. Each distinct window gets a 64-bit SimHash of its shingles, repeats included, and is looked up
 in a multi-index: the bits are cut into ``radius + 1`` blocks, and two fingerprints
 within the radius agree in one block at least. Candidates within the radius are
 verified by the exact weighted similarity: shingles weighted by how often they
@@ -81,19 +83,20 @@ def findings(df: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col:
     """(row key, item_id, similarity) of each document and item it leaks, with the
     best window's similarity."""
     items = _items(bench, size)
-    places = items.select("item_id", "n", F.posexplode("grams").alias("item_at", "gram"))
+    places = items.select("item_id", "n", F.explode(F.array_distinct("grams")).alias("gram"))
     docs = with_key(df, id_col, text_col)
     # The outer form, because Spark adds a filter that computes the shingles again to the plain one.
     spread = with_shingles(docs, "text", size).select(
         *KEY, F.size("grams").alias("held"), F.posexplode_outer("grams").alias("at", "gram"))
     hits = spread.join(places, "gram")
-    # Windows end where the document does; the least that must be shared is 2s / (1 + s).
-    start = F.greatest(F.least(F.col("at") - F.col("item_at"), F.col("held") - F.col("n")), F.lit(0))
-    votes = hits.groupBy(*KEY, "item_id", "n", "held", start.alias("start")).agg(F.count("*").alias("votes"))
-    shared = F.sum("votes").over(Window.partitionBy(*KEY, "item_id"))
-    enough = similarity / (1 + similarity) * (F.col("n") + F.least("n", "held"))
-    aligned = written(votes.withColumn("shared", shared).where(F.col("shared") >= enough - 1e-9)
-                      .select(*KEY, "n", "start").distinct(), "alignments")
+    # The least that a window must share is s / (1 + s) of both sizes.
+    need = F.greatest(F.ceil(similarity / (1 + similarity) * (F.col("n") + F.least("n", "held")) - 1e-9), F.lit(1)).cast("int")
+    spots = hits.groupBy(*KEY, "item_id", "n", "held").agg(F.array_sort(F.collect_set("at")).alias("at")).withColumn(
+        "need", need).where(F.size("at") >= F.col("need")).withColumn("final", F.expr("greatest(held - n, 0)"))
+    # A window holds enough if the need-th shared shingle from its start is within it; the last one ends the document.
+    starts = F.expr("concat(filter(at, (a, i) -> a < final AND get(at, i + need - 1) < a + n), "
+                    "CASE WHEN get(at, size(at) - need) >= final THEN array(final) ELSE array() END)")
+    aligned = written(spots.select(*KEY, "n", F.explode(starts).alias("start")).distinct(), "starts")
     touched = written(aligned.select(*KEY).distinct(), "touched")
     texts = docs.join(touched, list(KEY), "left_semi").dropDuplicates(list(KEY))
     windows = with_shingles(texts, "text", size).join(aligned, list(KEY)).select(
