@@ -4,7 +4,8 @@ skip-grams.
 Features of a text are the distinct hash buckets of its words, word pairs, and
 pairs with one word skipped. Training reads a bounded, deterministic sample of
 the labelled rows (``per_class`` of each label, by hash of the id) in one task;
-per-coordinate learning rates and an L1 penalty leave few weights that are not
+the bias is then corrected by the labels' sampling rates, so that scores follow
+the labels' true shares whatever the size of the table. Per-coordinate learning rates and an L1 penalty leave few weights that are not
 zero, so the model is a short list that goes to every executor. Scoring reads
 whole texts and all rows.
 
@@ -130,6 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = (labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1))
               .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    counts = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
+    # Log-odds that the sample adds to those of all labelled rows.
+    added = sum(sign * math.log(min(per_class, counts[y]) / counts[y]) for y, sign in ((1, 1), (0, -1)) if y in counts)
     sample = None
     for label in (0, 1):  # at most per_class narrow rows each: small enough to broadcast
         some = marked.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(per_class)
@@ -152,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
            .mapInPandas(train, "bucket array<int>, weight array<double>, bias double").collect())
     if not got:
         return Model(np.zeros(0, np.int32), np.zeros(0), 0.0, bits, known=False)
-    return Model(np.asarray(got[0].bucket, np.int32), np.asarray(got[0].weight, float), got[0].bias, bits)
+    return Model(np.asarray(got[0].bucket, np.int32), np.asarray(got[0].weight, float), got[0].bias - added, bits)
 
 
 def toxicity_score(text: Column, model: Model) -> Column:

@@ -1,10 +1,15 @@
 """Results that must be whole: moved passages, repeated rows, skewed labels, lonely
 vectors, deep pages, long secrets."""
 
+import math
 import random
+import time
 
-from ledgerwash.llm import decontam
-from test_llm_edges import brute_leaks, docs
+import numpy as np
+from pyspark.sql import functions as F
+
+from ledgerwash.llm import ann, decontam, extract, licenses, pii, toxicity
+from test_llm_edges import PROSE, brute_leaks, docs
 
 
 # op10
@@ -26,3 +31,23 @@ def test_decontamination_finds_moved_parts(spark):
     for i, text in rows:
         assert got[i].item_ids == ",".join(map(str, sorted(brute_leaks(text, items)))), (i, text)
     assert all(got[100 + 10 * i].contaminated for i in range(4))
+
+
+# op6
+
+def test_toxicity_scores_follow_the_labels_shares_in_a_small_sample(spark):
+    rng = random.Random(7)
+    words = PROSE.split()
+    rows = [(i, " ".join(rng.choices(words, k=12)) + (" vile" * (i % 20 == 0))) for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 20 == 0)) for i in range(3000)], "doc_id bigint, toxic int")
+    every = docs(spark, rows)
+    silent = docs(spark, [(1, None)])
+
+    def prior(model):
+        return silent.select(toxicity.toxicity_score(F.col("text"), model).alias("s")).first().s
+
+    whole, small = toxicity.fit(every, labels), toxicity.fit(every, labels, per_class=60)
+    odds = lambda s: math.log(s / (1 - s))
+    assert abs(odds(prior(small)) - odds(prior(whole))) < 1.2
+    scores = every.select("doc_id", toxicity.toxicity_score(F.col("text"), small).alias("s")).collect()
+    assert not [r.doc_id for r in scores if r.s >= 0.5 and r.doc_id % 20]
