@@ -11,7 +11,9 @@ Survivors are ranked again by the cosine of the original vectors in double
 precision.
 
 How many lists a query probes is calibrated on the sample: as many as it takes
-for ``recall`` of the sample's own true neighbours. Lists and queries meet in
+for ``recall`` of the sample's own true neighbours. Queries whose lists hold fewer
+than ``k`` others probe more lists, four times as many a round and all at the end,
+until they have ``k`` or no candidate is left. Lists and queries meet in
 blocks of bounded size, so neither a long list nor many queries fill one task.
 Vectors that are equal are indexed once, with their k+1 smallest ids (no more can
 be among a query's k nearest), and equal queries search once.
@@ -45,6 +47,7 @@ RECALL = 0.96
 EPSILON = 2.1  # of the hypothesis test; larger abandons later
 COLUMNS = 16
 BLOCK = 4096  # vectors, and queries, that meet in one group
+COPIES = 1 << 16  # of vectors, one for each list that they probe, in one batch
 EXACT_BELOW = 1000  # so few vectors are one list
 
 
@@ -136,12 +139,13 @@ def _assigned(rows: DataFrame, model, id_col: str, probes: int) -> DataFrame:
         m = model.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(ids), 1024):
-                turned = _unit(batch.column(1).slice(at, 1024).to_pylist()) @ m.rotation
+            step = max(1, min(1024, COPIES // probes))
+            for at in range(0, len(ids), step):
+                turned = _unit(batch.column(1).slice(at, step).to_pylist()) @ m.rotation
                 lists = _nearest(turned, m.centroids, probes)
                 flat = np.repeat(turned, probes, axis=0).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(ids[at:at + 1024], probes)), pa.array(lists.ravel().astype(np.int32)),
+                    pa.array(np.repeat(ids[at:at + step], probes)), pa.array(lists.ravel().astype(np.int32)),
                     pa.array(np.tile(np.arange(probes, dtype=np.int32), len(turned))),
                     pa.array(list(flat), pa.list_(pa.float32()))], ["id", "list", "place", "turned"])
     return rows.select(id_col, "vec").mapInArrow(run, "id bigint, list int, place int, turned array<float>")
@@ -199,19 +203,41 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     base = written(_assigned(entries, shared, "id", 1).drop("place"), "lists")
     longest = base.groupBy("list").count().agg(F.max("count")).first()[0]
     parts = -(-longest // block)
-    chunks = max(1, -(-questions.count() * model.probes // (block * len(model.centroids))))
-    base = base.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    probes = _assigned(questions, shared, "q", model.probes).withColumn(
-        "chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn(
-        "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    probes = written(probes, "probes")
+    base = base.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+
+    def dealt(some: DataFrame, count: int, probed: int) -> tuple[DataFrame, DataFrame]:
+        """The lists, and the queries ``some`` for each of their ``probed`` lists, in blocks."""
+        chunks = max(1, -(-count * probed // (block * len(model.centroids))))
+        asks = _assigned(some, shared, "q", probed).withColumn(
+            "chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn(
+            "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return base.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), written(asks, "probes")
+
+    lists, probes = dealt(questions, questions.count(), model.probes)
     keep = k + 4  # some more than k: the distances are in single precision
-    near = written(_best(_scanned(base, probes.where("place = 0").withColumn("limit", F.lit(float("inf"))), keep), keep), "near")
+    no_limit = F.lit(float("inf"))
+    near = written(_best(_scanned(lists, probes.where("place = 0").withColumn("limit", no_limit), keep), keep), "near")
     limits = near.groupBy("q").agg(F.max(F.when(F.col("n") == keep, F.col("dist"))).alias("limit"))
     rest = probes.where("place > 0").join(limits, F.col("id") == F.col("q"), "left").withColumn(
-        "limit", F.coalesce("limit", F.lit(float("inf")))).drop("q")
-    found = _best(near.drop("n").unionByName(_scanned(base, rest, keep)), keep).select("q", "id")
+        "limit", F.coalesce("limit", no_limit)).drop("q")
+    found = written(_best(near.drop("n").unionByName(_scanned(lists, rest, keep)), keep).select("q", "id"), "found")
+
+    # A query needs k ids besides its own, or all that there are.
+    names = members.select(F.col("entry").alias("id"), F.col("id").alias("name"))
+    enough = min(k + 1, names.select("name").distinct().limit(k + 1).count())
+
+    def lacking(some: DataFrame, got: DataFrame) -> DataFrame:
+        full = got.join(names, "id").groupBy("q").agg(F.count_distinct("name").alias("held")).where(F.col("held") >= enough)
+        return written(some.join(full, "q", "left_anti"), "lacking")
+
+    probed, short = model.probes, lacking(questions, found)
+    while few := short.count():
+        # All lists may be probed already, if one id's vectors fill the places: then more are kept.
+        probed, keep = min(4 * probed, len(model.centroids)), keep if probed < len(model.centroids) else 4 * keep
+        lists, probes = dealt(short, few, probed)
+        more = written(_best(_scanned(lists, probes.withColumn("limit", no_limit), keep), keep).select("q", "id"), "found")
+        found = found.join(short, "q", "left_anti").unionByName(more)
+        short = lacking(short, more)
     scored = (found.join(questions, "q").join(entries.withColumnRenamed("vec", "other"), "id")
               .select("q", F.col("id").alias("entry"), _exact("vec", "other").alias("score")))
     named = scored.join(members.select("entry", F.col("id").alias("vec_id")), "entry")

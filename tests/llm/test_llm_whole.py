@@ -51,3 +51,23 @@ def test_toxicity_scores_follow_the_labels_shares_in_a_small_sample(spark):
     assert abs(odds(prior(small)) - odds(prior(whole))) < 1.2
     scores = every.select("doc_id", toxicity.toxicity_score(F.col("text"), small).alias("s")).collect()
     assert not [r.doc_id for r in scores if r.s >= 0.5 and r.doc_id % 20]
+
+
+# op3
+
+def test_nearest_of_outliers_and_of_one_ids_vectors(spark):
+    rng = np.random.default_rng(3)
+    centers = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    x = centers[rng.integers(0, 40, 1500)] + 0.01 * rng.standard_normal((1500, 64))
+    lonely = centers[40:] + 0.001 * rng.standard_normal((24, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate((*lonely, *x))]
+    one = rng.standard_normal(64)
+    rows += [(5000, (one + 1e-3 * rng.standard_normal(64)).tolist()) for _ in range(40)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id").isin([*range(24), 100, 5000])).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert set(found) == {*range(24), 100, 5000}
+    for q, got in found.items():
+        assert [n for n, _ in sorted(got)] == [1, 2, 3, 4, 5], (q, got)
+        assert len({v for _, v in got}) == 5 and q not in {v for _, v in got}
