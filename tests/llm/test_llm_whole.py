@@ -71,3 +71,25 @@ def test_nearest_of_outliers_and_of_one_ids_vectors(spark):
     for q, got in found.items():
         assert [n for n, _ in sorted(got)] == [1, 2, 3, 4, 5], (q, got)
         assert len({v for _, v in got}) == 5 and q not in {v for _, v in got}
+
+
+# op8
+
+def test_extraction_at_any_depth(spark):
+    deep = "<div>" * 5000
+    rows = [("nested", "<article>" + deep + "<p>a</p><p>b</p><nav>menu</nav><div class=ads>buy</div><form>mail</form>c" + "</div>" * 5000
+             + "</article><p>after</p>"),
+            ("unclosed", "<body>" + "<section>x" * 3000 + "<article><p>a</p><p>b</p></article><footer>f</footer><p>after"),
+            ("plain", "<body>" + deep + "<nav>" + "menu " * 40 + "</nav><p>one</p><p>two</p>")]
+    df = spark.createDataFrame([(n, f"http://{n}.org", page) for n, page in rows], "page_id string, url string, html string")
+    got = {r.page_id: r.text for r in extract.extracted(df).collect()}
+    assert got["nested"] == "a\nb\nc"
+    assert got["unclosed"] == "a\nb"
+    assert got["plain"] == "one\ntwo"
+
+
+def test_closing_tags_equal_a_walk_down_the_stack():
+    page = "<table><tr><td>1<p>x<td>2<tr><th>3<ul><li>a<ul><li>b</ul><li>c</ul></table><p>d<div>e<p>f</div>g<dl><dt>h<dd>i</dl>"
+    out = [[]]
+    extract._blocks(extract.tree(page), out)
+    assert [t for t in map("".join, out) if t] == ["1", "x", "2", "3", "a", "b", "c", "d", "e", "f", "g", "h", "i"]
