@@ -110,12 +110,13 @@ def diagonals(docs: DataFrame, marks: DataFrame, k: int = K) -> DataFrame:
         *KEY, "pos", F.col("h.a").alias("a"), F.col("h.b").alias("b"))
     return grams.join(marks, ["a", "b"]).groupBy(
         *KEY, "no", "label", "base", "votes", (F.col("pos") - F.col("at")).cast("long").alias("diagonal")).agg(
-        F.count("*").alias("got"), F.collect_set("at").alias("at"))
+        F.collect_set("at").alias("at"))
 
 
 def findings(votes: DataFrame, coverage: float = COVERAGE, gap: int = GAP) -> DataFrame:
     """Per row key: exact places of the phrases, labels, and the best coverage."""
-    exact = F.col("base") & (F.col("got") == F.col("votes"))
+    # Repeated rows vote for the same positions again, so these are counted and not the votes.
+    exact = F.col("base") & (F.size("at") == F.col("votes"))
     one = Window.partitionBy(*KEY, "no").orderBy("diagonal")
     before = F.lag("diagonal").over(one)
     starts = F.when(before.isNull() | (F.col("diagonal") - before > gap), 1).otherwise(0)

@@ -53,6 +53,17 @@ def test_toxicity_scores_follow_the_labels_shares_in_a_small_sample(spark):
     assert not [r.doc_id for r in scores if r.s >= 0.5 and r.doc_id % 20]
 
 
+# op7
+
+def test_licenses_of_repeated_rows(spark):
+    text = "Under the MIT license, and cc by nc"
+    rows = [(1, text)] * 3 + [(None, text)] * 2 + [(2, text), (2, "cc by nc")]
+    got = licenses.scan(docs(spark, rows), licenses.templates(spark)).collect()
+    assert sorted((str(r.doc_id), r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) for r in got) == sorted(
+        [("1", 2, 0, 5, "cc-by-nc,mit", "cc-by-nc,mit", 1.0)] * 3 + [("None", 2, 0, 5, "cc-by-nc,mit", "cc-by-nc,mit", 1.0)] * 2
+        + [("2", 2, 0, 5, "cc-by-nc,mit", "cc-by-nc,mit", 1.0), ("2", 1, 0, 0, "cc-by-nc", "cc-by-nc", 1.0)])
+
+
 # op3
 
 def test_nearest_of_outliers_and_of_one_ids_vectors(spark):
