@@ -45,7 +45,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SCHEME = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-"
 _USERINFO = re.compile(r"[^\s/?#@<>\"']+@[A-Za-z0-9.:\[\]-]+")
 _ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|num|number|id)\b)?[\x20.:#=]{0,4}([A-Z]{0,4}[0-9](?:[\x20-]?[A-Z0-9]){5,33})(?![A-Za-z0-9])")
-_SECRET = re.compile(r"\s?[=:]\s?[\"']([^\s\"']{16,512})[\"']")
+_SECRET = re.compile(r"\s?[=:]\s?[\"']([^\s\"']{16,}+)[\"']")
 ACCOUNT_CUES = ("account", "acct", "iban", "ssn", "passport", "konto", "compte", "cuenta", "customer id")
 SECRET_CUES = ("token", "password", "passwd", "api_key", "apikey", "secret")
 

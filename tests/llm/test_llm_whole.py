@@ -104,3 +104,19 @@ def test_closing_tags_equal_a_walk_down_the_stack():
     out = [[]]
     extract._blocks(extract.tree(page), out)
     assert [t for t in map("".join, out) if t] == ["1", "x", "2", "3", "a", "b", "c", "d", "e", "f", "g", "h", "i"]
+
+
+# op5
+
+def test_long_secrets_are_found_whole():
+    auto = pii._automaton()
+    for size in (16, 512, 513, 5000):
+        secret = "eyJ" + "x" * (size - 3)
+        text = f'token = "{secret}" and password: \'{secret}\''
+        spans = [(k, text[a:b]) for k, a, b in pii.find_spans(text, auto)]
+        assert spans == [("secret", secret)] * 2
+        assert secret not in pii._cleaned(text, pii.find_spans(text, auto))
+    assert not pii.find_spans('token="' + "x" * 600, auto)
+    started = time.monotonic()
+    pii.find_spans("token=\"token:'x" * 100_000 + "token=" * 100_000, auto)
+    assert time.monotonic() - started < 20
