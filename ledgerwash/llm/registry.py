@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerwash.llm import ann, chat, decontam, extract, licenses, packing, pii, simhash, toxicity, urlfilter
+from ledgerwash.llm import ann, chat, decontam, extract, licenses, mixing, packing, pii, repair, simhash, spelling, toxicity, urlfilter
 from ledgerwash.llm.sql import ORACLE_SQL as SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,8 +72,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = _table(spark, sf_dir, "conversations")
+    return repair.report(told, repair.damaged(told))
+
+
 QUERIES: dict[str, Query] = {"pipeline": corpus_pipeline.run} | {
     q.__name__: q for q in (op1_chat, op2_simhash, op3_nearest, op4_url_filter, op5_pii, op6_toxicity, op7_licenses,
-                            op8_extract, op9_packing, op10_decontamination)}
+                            op8_extract, op9_packing, op10_decontamination, op11_spelling, op12_mixing,
+                            op13_repair)}
 
 ORACLE_SQL: dict[str, str] = {name: SQL[name] for name in QUERIES if name in SQL}
