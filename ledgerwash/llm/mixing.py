@@ -39,7 +39,7 @@ EPOCHS = 3
 BLOCK = 4096  # words of a block; less in sources of fewer than FINE blocks
 FINE = 1024
 SHARD = 1024  # blocks of a shard
-BUCKET = 1 << 16  # documents of a hash bucket, about
+BUCKET = 1 << 12  # documents of a hash bucket, about
 CHUNK = 1 << 12  # numbers counted out of one row at a time
 SEED = 12
 
