@@ -2,8 +2,8 @@
 
 Messages name their parent. Pointer doubling self-joins give each message its
 1st, 2nd, 4th ... ancestor, in as many rounds as the logarithm of the deepest
-branch; walking these from the leaves down to the first power enumerates every
-root-to-leaf path as narrow (leaf, message, distance) rows. Branches are ranked
+branch; walking these from the longest jump down to the first enumerates every
+root-to-leaf path as narrow (leaf, message, distance) rows of numbers. Branches are ranked
 by their messages' mean score within the tree, and each chosen path becomes one
 conversation. Texts join only at the end.
 
@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerwash.llm.scratch import written
+from ledgerwash.llm.blocks import numbered
+from ledgerwash.llm.scratch import dropped, written
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -53,40 +54,45 @@ def unescape_role(role: str) -> str:
 
 
 def _jumps(links: DataFrame) -> tuple[list[DataFrame], bool]:
-    """Tables of (tree, msg, up): the ancestor 1, 2, 4 ... links up; and whether
-    some chain never ends."""
+    """Tables of (node, up): the ancestor 1, 2, 4 ... links up; and whether some chain
+    never ends."""
     tables = [written(links, "jump")]
     longest = tables[0].count()
     while not tables[-1].isEmpty():
         if 1 << len(tables) - 1 > longest:
             return tables, True
         a, b = tables[-1].alias("a"), tables[-1].alias("b")
-        twice = a.join(b, (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.msg"))).select(
-            "a.tree", "a.msg", F.col("b.up").alias("up"))
+        twice = a.join(b, F.col("a.up") == F.col("b.node")).select("a.node", "b.up")
         tables.append(written(twice, "jump"))
-    return tables[:-1], False
+    dropped(links.sparkSession, tables.pop())
+    return tables, False
 
 
 def paths(messages: DataFrame) -> DataFrame:
-    """(tree, leaf, msg, dist) for every message on every root-to-leaf path;
-    dist counts from the leaf. Needs unique (tree, msg) and column ``parent``."""
-    nodes = messages.select("tree", "msg")
-    parents = nodes.select("tree", F.col("msg").alias("up"))
-    links = messages.where("parent IS NOT NULL").select("tree", "msg", F.col("parent").alias("up")).join(
-        parents, ["tree", "up"], "left_semi").select("tree", "msg", "up")
+    """(leaf, node, dist) for every message on every root-to-leaf path; dist counts
+    from the leaf. Of ``messages`` (node, tree, msg, parent), ``node`` is a unique
+    number and (tree, msg) is unique. Each step of the walk is written and replaces
+    the one before: a branch is a row at first, and is dealt out anew as it grows."""
+    spark = messages.sparkSession
+    parents = messages.select("tree", F.col("msg").alias("parent"), F.col("node").alias("up"))
+    links = messages.where("parent IS NOT NULL").join(parents, ["tree", "parent"]).select("node", "up")
     jumps, endless = _jumps(links)
-    leaves = nodes
+    leaves = messages.select("node")
     if jumps:
-        leaves = nodes.join(jumps[0].select("tree", F.col("up").alias("msg")), ["tree", "msg"], "left_anti")
+        leaves = leaves.join(jumps[0].select(F.col("up").alias("node")), "node", "left_anti")
     if endless:
-        leaves = leaves.join(jumps.pop(), ["tree", "msg"], "left_anti")
-    walk = leaves.select("tree", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("dist"))
-    for k, jump in reversed(list(enumerate(jumps))):
-        here = F.struct("msg", "dist")
-        there = F.struct(F.col("up").alias("msg"), (F.col("dist") + (1 << k)).alias("dist"))
-        walk = walk.join(jump, ["tree", "msg"], "left").select(
-            "tree", "leaf", F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x")
-        ).select("tree", "leaf", "x.msg", "x.dist")
+        leaves = leaves.join(jumps[-1], "node", "left_anti")
+    walk = written(leaves.select(F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist")), "walk")
+    for k in range(len(jumps) - 1 - endless, -1, -1):
+        here = F.struct("node", "dist")
+        there = F.struct(F.col("up").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))
+        both = walk.repartition("leaf", "node").join(jumps[k], "node", "left")
+        step = both.select("leaf", F.explode(F.when(F.col("up").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x"))
+        then = written(step.select("leaf", "x.node", "x.dist"), "walk")
+        dropped(spark, walk)
+        walk = then
+    for jump in jumps:
+        dropped(spark, jump)
     return walk
 
 
@@ -100,33 +106,36 @@ def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
         F.struct(F.col("tree_id").alias("id")).alias("tree"), F.col("message_id").alias("msg"),
         F.col("parent_id").alias("parent"), F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
-    # Written once; the steps below read the narrow columns that they need, and the texts once.
-    rows = written(rows, "messages")
+    # Written once, with a number that stands for tree and message from here on; the texts are read once.
+    rows = written(rows.withColumn("node", F.monotonically_increasing_id()), "messages")
     if not rows.groupBy("tree", "msg").count().where("count > 1").isEmpty():
         first = Window.partitionBy("tree", "msg").orderBy("parent", "role", "text", "score")
         rows = written(rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n"), "messages")
-    walk = written(paths(rows), "paths")
-    scored = walk.join(rows.select("tree", "msg", "score"), ["tree", "msg"]).groupBy("tree", "leaf").agg(
+    walk = paths(rows.select("node", "tree", "msg", "parent"))
+    scored = walk.join(rows.select("node", "score"), "node").groupBy("leaf").agg(
         F.avg("score").alias("score"), F.max("dist").alias("depth"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "leaf"))
-    ranked = scored.withColumn("rank", rank)
+    named = scored.join(rows.select(F.col("node").alias("leaf"), "tree", F.col("msg").alias("leaf_id")), "leaf")
+    # Ranks by one sort over all trees, as one tree may have a third of all branches.
+    order = numbered(named.withColumn("less", -F.col("score")), "tree", "less", "leaf_id", name="ranked")
+    firsts = order.groupBy("tree").agg(F.min("place").alias("first"))
+    ranked = order.join(firsts, "tree").withColumn("rank", (F.col("place") - F.col("first") + 1).cast("int"))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
+    ranked = ranked.select("leaf", "leaf_id", "tree", "rank", "score", "depth")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
-    turns = (walk.join(ranked, ["tree", "leaf"]).join(rows.select("tree", "msg", "role", "text"), ["tree", "msg"])
-             .select("tree", "leaf", "rank", "score", (F.col("depth") - F.col("dist")).alias("pos"),
-                     (F.col("role") == "assistant").alias("own"), head.alias("head"), escape_text(F.col("text")).alias("body")))
-    so_far = F.sum(F.length("head") + F.length("body") + len(END)).over(Window.partitionBy("tree", "leaf").orderBy("pos"))
-    turns = turns.withColumn("end", so_far - len(END)).withColumn("begin", F.col("end") - F.length("body"))
-    turn = F.struct("pos", "own", F.concat("head", "body", F.lit(END)).alias("shown"),
-                    F.col("begin").cast("long").alias("begin"), F.col("end").cast("long").alias("end"))
-    whole = turns.groupBy("tree", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    return whole.select(
-        F.col("tree.id").alias("tree_id"), F.col("leaf").alias("leaf_id"), "rank", "score",
-        F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("turns", lambda t: t["shown"]), "").alias("formatted"),
-        F.transform(F.filter("turns", lambda t: t["own"]),
-                    lambda t: F.struct(t["begin"].alias("start"), t["end"].alias("end"))).alias("loss"))
+    turns = (walk.join(ranked.select("leaf", "depth"), "leaf").join(rows.select("node", "role", "text"), "node")
+             .select("leaf", (F.col("depth") - F.col("dist")).alias("pos"), (F.col("role") == "assistant").alias("own"),
+                     F.length(head).alias("head"), F.concat(head, escape_text(F.col("text")), F.lit(END)).alias("shown")))
+    so_far = F.sum(F.length("shown")).over(Window.partitionBy("leaf").orderBy("pos"))
+    turns = turns.withColumn("end", so_far - len(END))
+    begin = F.col("end") + len(END) - F.length("shown") + F.col("head")
+    turn = F.struct("pos", "shown", F.when(F.col("own"), F.struct(
+        begin.cast("long").alias("start"), F.col("end").cast("long").alias("end"))).alias("loss"))
+    whole = turns.select("leaf", turn.alias("turn")).groupBy("leaf").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
+    text = whole.select("leaf", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.col("turns.shown"), "").alias("formatted"),
+                        F.filter(F.col("turns.loss"), lambda x: x.isNotNull()).alias("loss"))
+    return text.join(ranked, "leaf").select(
+        F.col("tree.id").alias("tree_id"), "leaf_id", "rank", "score", "n_turns", "formatted", "loss")
 
 
 def chains(conversations: DataFrame) -> DataFrame:
