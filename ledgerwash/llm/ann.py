@@ -172,7 +172,15 @@ def _best(found: DataFrame, keep: int) -> DataFrame:
 
 
 def _exact(a: str, b: str) -> Column:
-    x, y = (f"transform({c}, x -> cast(x AS double))" for c in (a, b))
+    """Cosine in double precision. Each vector is first multiplied by a power of two,
+    which is exact, to a largest component of about 1: squares neither overflow nor
+    vanish, however large or small the numbers. The power is applied in two steps, as
+    that of the smallest numbers is beyond a double."""
+    def scaled(c: str) -> str:
+        power = f"-floor(log2(array_max(transform({c}, x -> abs(cast(x AS double))))))"
+        return f"transform({c}, x -> cast(x AS double) * pow(2D, floor({power} / 2)) * pow(2D, {power} - floor({power} / 2)))"
+
+    x, y = scaled(a), scaled(b)
     total = lambda e: f"aggregate({e}, 0D, (s, x) -> s + x)"
     norm = lambda v: f"sqrt({total(f'transform({v}, x -> x * x)')})"
     return F.expr(f"{total(f'zip_with({x}, {y}, (x, y) -> x * y)')} / ({norm(x)} * {norm(y)})")

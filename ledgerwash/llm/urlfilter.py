@@ -76,7 +76,9 @@ def matched(places: DataFrame, rules: DataFrame, keys_a_sweep: int = KEYS_A_SWEE
         "ending", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("start").alias("at"),
         F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), "stack")
     sweep = Window.partitionBy("ending", "part").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = opened.unionByName(events).withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
+    # Both sides may come hashed by ``ending`` alone, which would leave all parts of one in one task.
+    dealt = opened.unionByName(events).repartition("ending", "part")
+    swept = dealt.withColumn("open", F.last("stack", ignorenulls=True).over(sweep)).where("kind = 1")
     inside = F.filter("open", lambda r: F.startswith(F.col("at"), r["path"]))
     found = swept.select("host", F.col("at").alias("path"), F.try_element_at(inside, F.lit(-1)).alias("r")).where("r IS NOT NULL")
     best = F.max(F.struct(F.length(F.concat("r.host", "r.path")), F.concat("r.host", "r.path").alias("rule"),
