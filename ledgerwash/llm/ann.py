@@ -22,7 +22,8 @@ Defined results: vectors that are null, zero, or hold null or non-finite numbers
 take no part, nor do null ids or vectors of another dimension than most (of equal
 counts the smaller). Rows that repeat an id and a vector count once; an id with
 several vectors is found by each, and its query gets the nearest of all; a query
-never finds its own id. With fewer than k other vectors all are returned. Other
+never finds its own id. Numbers may be of any size: vectors are levelled by powers of
+two, so those that differ by such a factor count as equal (their cosines are). With fewer than k other vectors all are returned. Other
 columns are ignored.
 """
 
@@ -171,19 +172,20 @@ def _best(found: DataFrame, keep: int) -> DataFrame:
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
 
 
+def _levelled(vec: str) -> Column:
+    """The vector times a power of two, which is exact, with a largest component of
+    about 1: squares neither overflow nor vanish and cosines stay the same. The power
+    comes in two factors, as that of the smallest numbers is beyond a double."""
+    doubles = f"transform({vec}, x -> cast(x AS double))"
+    power = f"-floor(log2(array_max(transform({doubles}, x -> abs(x)))))"
+    factors = f"transform(array({power}), p -> struct(pow(2D, floor(p / 2)) AS a, pow(2D, p - floor(p / 2)) AS b))"
+    return F.expr(f"transform({factors}, f -> transform({doubles}, x -> x * f.a * f.b))[0]")
+
+
 def _exact(a: str, b: str) -> Column:
-    """Cosine in double precision. Each vector is first multiplied by a power of two,
-    which is exact, to a largest component of about 1: squares neither overflow nor
-    vanish, however large or small the numbers. The power is applied in two steps, as
-    that of the smallest numbers is beyond a double."""
-    def scaled(c: str) -> str:
-        power = f"-floor(log2(array_max(transform({c}, x -> abs(cast(x AS double))))))"
-        return f"transform({c}, x -> cast(x AS double) * pow(2D, floor({power} / 2)) * pow(2D, {power} - floor({power} / 2)))"
-
-    x, y = scaled(a), scaled(b)
     total = lambda e: f"aggregate({e}, 0D, (s, x) -> s + x)"
     norm = lambda v: f"sqrt({total(f'transform({v}, x -> x * x)')})"
-    return F.expr(f"{total(f'zip_with({x}, {y}, (x, y) -> x * y)')} / ({norm(x)} * {norm(y)})")
+    return F.expr(f"{total(f'zip_with({a}, {b}, (x, y) -> x * y)')} / ({norm(a)} * {norm(b)})")
 
 
 def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding",
@@ -195,7 +197,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     sizes = rows.groupBy(F.size("vec").alias("dim")).count().orderBy(F.col("count").desc(), "dim").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("vec") == sizes["dim"]).withColumn("vec", F.col("vec").cast("array<double>"))
+    rows = rows.where(F.size("vec") == sizes["dim"]).withColumn("vec", _levelled("vec"))
     # Equal vectors: one entry, their smallest ids as members.
     first = Window.partitionBy("vec").orderBy("id")
     ranked = rows.select("id", "vec").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)

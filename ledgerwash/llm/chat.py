@@ -121,7 +121,7 @@ def format_trees(messages: DataFrame, best: int | None = None) -> DataFrame:
     ranked = order.join(firsts, "tree").withColumn("rank", (F.col("place") - F.col("first") + 1).cast("int"))
     if best is not None:
         ranked = ranked.where(F.col("rank") <= best)
-    ranked = ranked.select("leaf", "leaf_id", "tree", "rank", "score", "depth")
+    ranked = written(ranked.select("leaf", "leaf_id", "tree", "rank", "score", "depth"), "ranked")
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     turns = (walk.join(ranked.select("leaf", "depth"), "leaf").join(rows.select("node", "role", "text"), "node")
              .select("leaf", (F.col("depth") - F.col("dist")).alias("pos"), (F.col("role") == "assistant").alias("own"),
