@@ -17,7 +17,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .plans.marts import run_workflow
+from .plans.marts import publish_workflow, run_workflow
 from .session import RUNTIME_CONF
 from .sources.raw import load_customers, load_raw
 
@@ -34,6 +34,8 @@ def main(argv: list[str] | None = None) -> list[str]:
                         help="reader option of the transactions, such as nullValue=\\N or emptyValue=")
     parser.add_argument("--on-error", default="fail", choices=["fail", "null"])
     parser.add_argument("--only", nargs="*", help="write only these reports")
+    parser.add_argument("--publish", action="store_true",
+                        help="publish the fact and the reports as one new version under OUT (readers never see half of it)")
     args = parser.parse_args(argv)
 
     spark = SparkSession.builder.appName("ledgerwash").getOrCreate()
@@ -42,8 +44,13 @@ def main(argv: list[str] | None = None) -> list[str]:
     options = dict(o.split("=", 1) for o in args.option)
     raw = load_raw(spark, args.transactions, args.format, **options)
     customers = load_customers(spark, args.customers, args.format)
-    written = run_workflow(spark, raw, customers, args.out, null_notes=args.null_notes,
-                           on_error=args.on_error, only=args.only)
+    options = {"null_notes": args.null_notes, "on_error": args.on_error, "only": args.only}
+    if args.publish:
+        version = publish_workflow(spark, raw, customers, args.out, **options)
+        written = sorted(version.tables)
+        print("version:", version.number)
+    else:
+        written = run_workflow(spark, raw, customers, args.out, **options)
     print("wrote:", ", ".join(written))
     return written
 

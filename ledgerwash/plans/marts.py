@@ -5,14 +5,21 @@ by month) to a shared folder, reads it back (so every report starts from
 files, not from the cleaning lineage) and writes each report as a mart
 under ``<out>/marts/<name>``. Each write is its own job; a lost executor only
 re-runs its tasks, and a failed run can be repeated (every write overwrites).
+
+``publish_workflow`` is the form for marts that are read while they are renewed:
+the same run into a new snapshot, published with one commit at its end.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cleaning import clean_customers, clean_transactions
 from ..operators.quality import assert_unique
+from ..sources.publish import Publication, Version
 from ..sources.sinks import read_clean_fact, write_clean_fact, write_marts
 from . import analysis as Q
 from . import views as V
@@ -73,3 +80,15 @@ def run_workflow(spark: SparkSession, transactions_raw: DataFrame, customers_raw
                 marts[name] = build(spark.read.parquet(f"{root}/{source}"))
         written += write_marts({name: marts[name]}, root, by_month=ROW_LEVEL)
     return written
+
+
+def publish_workflow(spark: SparkSession, transactions_raw: DataFrame, customers_raw: DataFrame, root: str, **options) -> Version:
+    """``run_workflow`` into a new snapshot of the publication at ``root``; the cleaned
+    fact and all marts become the newest version together, or, if any job fails, not
+    at all."""
+    publication = Publication(spark, root)
+    base = publication.version()
+    snapshot = f"snapshots/{int(time.time() * 1000):015}-{uuid.uuid4().hex}"
+    names = run_workflow(spark, transactions_raw, customers_raw, f"{publication.root}/{snapshot}", **options)
+    marts = {name: [f"{snapshot}/marts/{name}"] for name in names}
+    return publication.commit(base, replaced={"clean_fact": [f"{snapshot}/clean_fact"], **marts})

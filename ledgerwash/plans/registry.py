@@ -23,6 +23,7 @@ from ..operators.cleaning import clean_customers, clean_transactions
 from ..sources import fixtures
 from ..session import ensure_checkpoint_dir
 from ..sources.catalog import list_views, register_views, views_over
+from ..sources.publish import Publication
 from ..sources.raw import load_raw
 from ..sources.schema import CUSTOMER_LENGTH_LIMITS, RAW_TEXT_COLUMNS, TRANSACTION_LENGTH_LIMITS
 from ..sources.sinks import read_clean_fact, write_clean_fact
@@ -232,6 +233,24 @@ def _a10(t: Tables):
     return read_clean_fact(t.spark, path)
 
 
+@query("a10_publish")
+def _a10p(t: Tables):
+    """The category and monthly marts published twice (of 2022, then of all
+    rows) and both versions read back: each is whole, and the newest holds all."""
+    publication = Publication(t.spark, _shared(t, "published"))
+    fact = Publication(t.spark, _shared(t, "fact"))
+    fact.publish({"fact": t.fact})
+    rows = fact.read("fact")
+    for part in (rows.where("transaction_date < DATE'2023-01-01'"), rows):
+        publication.publish({"categories": V.vw_category_summary(part), "months": V.vw_monthly_summary(part)})
+    found = [df.select(F.lit(n).cast("bigint").alias("version"), F.lit(name).alias("mart"), F.col(key).alias("group_key"),
+                       "transaction_count", F.col(total).alias("total_ngn"), "avg_transaction_ngn")
+             for n in publication.versions() for name, key, total in (
+                 ("categories", "category", "total_spent_ngn"), ("months", "year_month", "total_debit_ngn"))
+             for df in (publication.read(name, n),)]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("s01_incremental_clean")
 def _s01(t: Tables):
     """The streaming form of the pipeline: the raw rows land as two file

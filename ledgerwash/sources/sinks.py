@@ -1,8 +1,10 @@
 """Sinks (A10): the cleaned fact and the marts, written for BI readers.
 
 Writes go to the shared folder the caller names (on a cluster: a path every
-executor reaches, never a machine-local temp folder). Output commits are
-atomic per job, so a lost executor only re-runs its tasks.
+executor reaches, never a machine-local temp folder). A lost executor only
+re-runs its tasks. ``mode="overwrite"`` deletes a folder before it writes it, so
+readers of that folder see nothing meanwhile; tables that others read while they
+are renewed are published as snapshots instead (``sources.publish``).
 """
 
 from __future__ import annotations
