@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import flags
 from ..functions.dates import text_period
-from ..functions.money import avg2, exact_avg, ratio2, share_of_total, sum2
+from ..functions.money import avg2, exact_avg, exact_stddev_samp, ratio2, share_of_total, sum2
 from ..sources.schema import DEBIT
 
 AMT = "amount_clean"
@@ -236,7 +236,7 @@ def customer_baseline(clean: DataFrame, min_history: int = 10, rounded: bool = T
     customers with at least ``min_history`` rows. One row per customer;
     partial aggregation map-side."""
     g = (clean.filter(spend_filter()).groupBy("customer_id")
-         .agg(exact_avg(AMT).alias("avg_spend"), F.stddev_samp(AMT).alias("stddev_spend"),
+         .agg(exact_avg(AMT).alias("avg_spend"), exact_stddev_samp(AMT).alias("stddev_spend"),
               F.count(F.lit(1)).alias("total_transactions"))
          .filter(F.col("total_transactions") >= min_history))
     if rounded:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import avg2, exact_avg, ratio2, share_of_total, sum2
+from ..functions.money import avg2, exact_avg, exact_stddev_samp, ratio2, share_of_total, sum2
 from ..sources.schema import CREDIT, DEBIT
 from .analysis import AMT, DT, attach_customers, sigma, spend_filter
 
@@ -105,7 +105,7 @@ def view_baseline(fact: DataFrame, min_history: int = 10) -> DataFrame:
     """V6 sub-query: unrounded debit average and sample stddev per customer
     with at least ``min_history`` debit rows."""
     return (fact.filter(F.col("transaction_type") == DEBIT).groupBy("customer_id")
-            .agg(exact_avg("amount").alias("avg_spend"), F.stddev_samp("amount").alias("stddev_spend"),
+            .agg(exact_avg("amount").alias("avg_spend"), exact_stddev_samp("amount").alias("stddev_spend"),
                  F.count(F.lit(1)).alias("_n"))
             .filter(F.col("_n") >= min_history).drop("_n"))
 
