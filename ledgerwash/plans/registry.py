@@ -29,6 +29,7 @@ from ..sources.schema import CUSTOMER_LENGTH_LIMITS, RAW_TEXT_COLUMNS, TRANSACTI
 from ..sources.sinks import read_clean_fact, write_clean_fact
 from ..streaming.incremental import read_cleaned, start_cleaning_stream
 from . import analysis as Q
+from .incremental_marts import IncrementalMarts
 from . import views as V
 
 
@@ -251,6 +252,36 @@ def _a10p(t: Tables):
     return reduce(DataFrame.unionByName, found)
 
 
+@query("v_incremental_marts")
+def _v_inc(t: Tables):
+    """V2-V6, K1 after three batches of cleaned rows, from merged states; one row a
+    group, with the columns that the marts have in common."""
+    path = _shared(t, "clean-fact")
+    write_clean_fact(t.clean, path)
+    clean = read_clean_fact(t.spark, path)
+    keeper = IncrementalMarts(Publication(t.spark, _shared(t, "marts")))
+    for batch in range(3):
+        keeper.apply(clean.where(F.pmod(F.col("k"), F.lit(3)) == batch), "query", batch)
+    marts = keeper.marts(t.customers)
+    none = F.lit(None).cast("bigint")
+    shape = {
+        "vw_category_summary": ("category", "transaction_count", "total_spent_ngn", "avg_transaction_ngn", none),
+        "vw_monthly_summary": ("year_month", "transaction_count", "total_debit_ngn", "avg_transaction_ngn", "active_customers"),
+        "vw_customer_summary": ("customer_id", "total_transactions", "total_debit_ngn", "avg_debit_ngn", "merchants_used"),
+        "vw_merchant_summary": (F.concat_ws("|", "merchant_name", "category"), "transaction_count", "total_spent_ngn",
+                                "avg_transaction_ngn", "unique_customers"),
+        "vw_flagged_transactions": ("transaction_id", none, "amount", "sigma_score", none),
+        "kpi_summary": (F.lit("all"), "total_transactions", "total_spend_ngn", "avg_transaction_ngn", "flagged_transactions"),
+    }
+
+    def common(name: str) -> DataFrame:
+        key, rows, total, average, distinct = (F.col(c) if isinstance(c, str) else c for c in shape[name])
+        return marts[name].select(
+            F.lit(name).alias("mart"), key.alias("group_key"), rows.cast("bigint").alias("group_rows"),
+            total.cast("double").alias("total_ngn"), average.cast("double").alias("average_ngn"), distinct.cast("bigint").alias("distinct_values"))
+    return reduce(DataFrame.unionByName, map(common, shape))
+
+
 @query("s01_incremental_clean")
 def _s01(t: Tables):
     """The streaming form of the pipeline: the raw rows land as two file

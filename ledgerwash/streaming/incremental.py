@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..plans.incremental_marts import IncrementalMarts
 from ..operators.cleaning import DEFAULT_DEDUP_ORDER, clean_transactions
 from ..sources.raw import PLACE, with_arrival
 from ..sources.schema import RAW_TRANSACTIONS_SCHEMA
@@ -53,8 +54,9 @@ def run_id(spark: SparkSession, checkpoint_path: str) -> str:
 
 
 def clean_batch(batch: DataFrame, batch_id: int, output_path: str, run: str, *, null_notes: str = "sql",
-                on_error: str = "fail", dedup_order=DEFAULT_DEDUP_ORDER) -> None:
-    """Clean one micro-batch and write it as partition ``run``, ``batch_id``."""
+                on_error: str = "fail", dedup_order=DEFAULT_DEDUP_ORDER) -> DataFrame:
+    """Clean one micro-batch and write it as partition ``run``, ``batch_id``; returns
+    the rows that it added, read back."""
     spark = batch.sparkSession
     fresh = clean_transactions(batch, null_notes=null_notes, on_error=on_error, dedup_order=dedup_order)
     fs, p = _path(spark, output_path)
@@ -63,18 +65,22 @@ def clean_batch(batch: DataFrame, batch_id: int, output_path: str, run: str, *,
         seen = history.where((F.col(RUN_COLUMN) != run) | (F.col(BATCH_COLUMN) < batch_id)).select(
             F.col("transaction_id").alias("_seen_id"))
         fresh = fresh.join(seen, fresh["transaction_id"].eqNullSafe(seen["_seen_id"]), "left_anti")
-    (fresh.withColumn(RUN_COLUMN, F.lit(run)).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("bigint"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out = fresh.withColumn(RUN_COLUMN, F.lit(run)).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("bigint"))
+    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(RUN_COLUMN, BATCH_COLUMN).parquet(output_path))
+    added = spark.read.schema(out.schema).parquet(output_path)
+    return added.where((F.col(RUN_COLUMN) == run) & (F.col(BATCH_COLUMN) == batch_id)).drop(RUN_COLUMN, BATCH_COLUMN)
 
 
 def start_cleaning_stream(spark: SparkSession, raw_path: str, output_path: str, checkpoint_path: str, *,
                           fmt: str = "parquet", max_files_per_trigger: int | None = None,
                           available_now: bool = False, processing_time: str | None = None,
-                          null_notes: str = "sql", on_error: str = "fail", **reader_options) -> StreamingQuery:
+                          null_notes: str = "sql", on_error: str = "fail", marts: IncrementalMarts | None = None,
+                          **reader_options) -> StreamingQuery:
     """Watch ``raw_path`` for raw transaction files and keep ``output_path``
     cleaned. ``checkpoint_path`` must be a shared folder (it records which
-    files and batches are done)."""
+    files and batches are done). ``marts``, if given, are brought up to date
+    after each batch from the rows that it added."""
     reader = spark.readStream.schema(RAW_TRANSACTIONS_SCHEMA).format(fmt)
     if fmt == "csv":
         reader = reader.option("header", "true")
@@ -86,7 +92,9 @@ def start_cleaning_stream(spark: SparkSession, raw_path: str, output_path: str,
     own_run = run_id(spark, checkpoint_path)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        clean_batch(with_arrival(batch), batch_id, output_path, own_run, null_notes=null_notes, on_error=on_error)
+        added = clean_batch(with_arrival(batch), batch_id, output_path, own_run, null_notes=null_notes, on_error=on_error)
+        if marts is not None:
+            marts.apply(added, own_run, batch_id)
 
     writer = raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_path)
     if available_now:

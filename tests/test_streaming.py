@@ -73,3 +73,20 @@ def test_a_cluster_needs_a_shared_checkpoint_folder():
     context = N(getConf=lambda: conf, getCheckpointDir=lambda: None, master="spark://host:7077")
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         ensure_checkpoint_dir(N(conf=conf, sparkContext=context))
+
+
+def test_the_stream_keeps_marts_up_to_date(spark, tables):
+    from ledgerwash.plans import views as V
+    from ledgerwash.plans.incremental_marts import IncrementalMarts
+    from ledgerwash.sources.publish import Publication
+    base = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex[:8]}")
+    marts = IncrementalMarts(Publication(spark, f"{base}/marts"))
+    first = F.expr("ingest_seq = 1 AND (k % 2 = 0 OR transaction_id IS NULL)")
+    for arrival in (tables.raw.filter(first), tables.raw.filter(~first)):
+        arrival.coalesce(2).write.mode("append").parquet(f"{base}/raw")
+        start_cleaning_stream(spark, f"{base}/raw", f"{base}/out", f"{base}/ckpt", available_now=True, marts=marts).awaitTermination(300)
+    assert marts.publication.versions() == [1, 2]
+    fact = V.clean_fact(read_cleaned(spark, f"{base}/out"))
+    got = marts.marts(tables.customers)
+    for name, want in (("vw_monthly_summary", V.vw_monthly_summary(fact)), ("kpi_summary", V.kpi_summary(fact))):
+        assert sorted(map(repr, got[name].collect())) == sorted(map(repr, want.collect()))
