@@ -92,10 +92,14 @@ class Publication:
 
     # -- writing ---------------------------------------------------------------------
 
-    def write(self, tables: dict[str, DataFrame], by_month: dict[str, str] | None = None) -> dict[str, list[str]]:
-        """Write each table to a new segment. Nobody sees it before ``commit``."""
-        snapshot = f"snapshots/{int(time.time() * 1000):015}-{uuid.uuid4().hex}"
-        write_marts(tables, f"{self.root}/{snapshot}", mode="error", by_month=by_month)
+    def write(self, tables: dict[str, DataFrame], by_month: dict[str, str] | None = None,
+              by: dict[str, str] | None = None) -> dict[str, list[str]]:
+        """Write each table to a new segment (``by``: partitioned by a column). Nobody
+        sees it before ``commit``."""
+        snapshot, by = f"snapshots/{int(time.time() * 1000):015}-{uuid.uuid4().hex}", by or {}
+        write_marts({n: df for n, df in tables.items() if n not in by}, f"{self.root}/{snapshot}", mode="error", by_month=by_month)
+        for name, column in by.items():
+            tables[name].write.partitionBy(column).parquet(f"{self.root}/{snapshot}/{name}")
         return {name: [f"{snapshot}/{name}"] for name in tables}
 
     def commit(self, base: Version, replaced: dict[str, list[str]] | None = None,

@@ -6,9 +6,10 @@ cleaned table. Deduplication keeps the first arrival of every
 
 * inside a micro-batch, the same rule as the batch pipeline (``dedup_first``,
   by ``ingest_seq`` or the place in the files);
-* across micro-batches, a null-safe anti join (NULL ids form one group like in
-  the batch rule) against the ids that the output already holds, read
-  column-pruned. Spark picks the join by its own size estimates.
+* across micro-batches, by an index of the ids that are in (``seen_index``): Bloom
+  bitmaps tell new ids at once, and a null-safe anti join (NULL ids form one group
+  like in the batch rule) reads the ids of those buckets only that hold a possible
+  match. Spark picks the join by its own size estimates.
 
 Each batch writes the partition ``run_id=R/batch_id=N`` with dynamic partition
 overwrite. R is stored in the checkpoint folder: a batch replayed after a
@@ -27,7 +28,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.incremental_marts import IncrementalMarts
 from ..operators.cleaning import DEFAULT_DEDUP_ORDER, clean_transactions
+from .seen_index import SeenIndex
 from ..sources.raw import PLACE, with_arrival
+from ..sources.publish import Publication
 from ..sources.schema import RAW_TRANSACTIONS_SCHEMA
 
 BATCH_COLUMN = "batch_id"
@@ -59,17 +62,32 @@ def clean_batch(batch: DataFrame, batch_id: int, output_path: str, run: str, *,
     the rows that it added, read back."""
     spark = batch.sparkSession
     fresh = clean_transactions(batch, null_notes=null_notes, on_error=on_error, dedup_order=dedup_order)
-    fs, p = _path(spark, output_path)
-    if fs.exists(p):  # any other problem with the history must fail the batch, not count as no history
-        history = spark.read.schema(_SEEN_SCHEMA).parquet(output_path)
-        seen = history.where((F.col(RUN_COLUMN) != run) | (F.col(BATCH_COLUMN) < batch_id)).select(
-            F.col("transaction_id").alias("_seen_id"))
-        fresh = fresh.join(seen, fresh["transaction_id"].eqNullSafe(seen["_seen_id"]), "left_anti")
+    index = index_of(spark, output_path)
+    if index.empty() and (ids := _ids_before(spark, output_path, run, batch_id)) is not None:
+        index.add(ids, "earlier output", 0)
+    fresh = index.unseen(fresh, "transaction_id", run, batch_id)
     out = fresh.withColumn(RUN_COLUMN, F.lit(run)).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("bigint"))
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(RUN_COLUMN, BATCH_COLUMN).parquet(output_path))
     added = spark.read.schema(out.schema).parquet(output_path)
-    return added.where((F.col(RUN_COLUMN) == run) & (F.col(BATCH_COLUMN) == batch_id)).drop(RUN_COLUMN, BATCH_COLUMN)
+    added = added.where((F.col(RUN_COLUMN) == run) & (F.col(BATCH_COLUMN) == batch_id)).drop(RUN_COLUMN, BATCH_COLUMN)
+    index.add(added.select("transaction_id"), run, batch_id)
+    index.compact()
+    return added
+
+
+def index_of(spark: SparkSession, output_path: str) -> SeenIndex:
+    """The index of an output's ids: a folder beside it."""
+    return SeenIndex(Publication(spark, f"{output_path.rstrip('/')}.seen"))
+
+
+def _ids_before(spark: SparkSession, output_path: str, run: str, batch_id: int) -> DataFrame | None:
+    """The ids of an output that has none indexed (written before there was an index)."""
+    fs, p = _path(spark, output_path)
+    if not fs.exists(p):  # any other problem with the history must fail the batch, not count as no history
+        return None
+    history = spark.read.schema(_SEEN_SCHEMA).parquet(output_path)
+    return history.where((F.col(RUN_COLUMN) != run) | (F.col(BATCH_COLUMN) < batch_id)).select("transaction_id")
 
 
 def start_cleaning_stream(spark: SparkSession, raw_path: str, output_path: str, checkpoint_path: str, *,
