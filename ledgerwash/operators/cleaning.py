@@ -56,18 +56,20 @@ def dedup_first(df: DataFrame, key: str = "transaction_id", order=DEFAULT_DEDUP_
     return df.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
 
 
-def dedup_first_packed(df: DataFrame, keep, key: str = "transaction_id", order=DEFAULT_DEDUP_ORDER) -> DataFrame:
+def dedup_first_packed(df: DataFrame, keep, key: str = "transaction_id", order=DEFAULT_DEDUP_ORDER, sums=()) -> DataFrame:
     """C1 for plans that read the kept rows more than once: the columns
     ``keep`` packed into one struct behind the order columns, and its ``min``.
     Pruning cannot tell the branches of the plan apart, so they share one
     exchange of these columns, where the window form would be computed once
-    for each set of columns."""
+    for each set of columns. Columns ``sums`` are added up over all rows of a
+    key, the dropped ones too."""
     parts = []
     for i, c in enumerate(_order_columns(df, key, order)):
         parts += [F.col(c).isNull().alias(f"_null_{i}"), F.col(c).alias(f"_ord_{i}")]
     keep = [c for c in keep if c != key]
-    first = df.groupBy(key).agg(F.min(F.struct(*parts, *[F.col(c) for c in keep])).alias("_first"))
-    return first.select(key, *[F.col(f"_first.`{c}`").alias(c) for c in keep])
+    first = df.groupBy(key).agg(F.min(F.struct(*parts, *[F.col(c) for c in keep])).alias("_first"),
+                                *(F.sum(c).alias(c) for c in sums))
+    return first.select(key, *[F.col(f"_first.`{c}`").alias(c) for c in keep], *sums)
 
 
 def _require_arrival(df: DataFrame) -> DataFrame:
@@ -165,7 +167,7 @@ def _raise_on_errors(df: DataFrame) -> DataFrame:
 
 def clean_transactions(raw: DataFrame, *, null_notes: str = "sql", on_error: str = "fail",
                        upto: str | None = None, dedup: bool = True, dedup_order=DEFAULT_DEDUP_ORDER,
-                       columns=None) -> DataFrame:
+                       columns=None, tally: dict | None = None) -> DataFrame:
     """Run the pipeline on the raw fact, through step ``upto`` (inclusive;
     default: all). The result keeps every raw column (repaired in place) and
     adds ``amount_clean decimal(15,2)`` and ``transaction_date_clean date``
@@ -177,6 +179,9 @@ def clean_transactions(raw: DataFrame, *, null_notes: str = "sql", on_error: str
     between the row rules and the deduplication, and all readers share that
     one shuffle.
 
+    ``tally``: numbers of a raw row by name, which come back summed over all
+    copies of an id, the dropped ones too (for ``operators.profile``).
+
     ``null_notes``: ``"sql"`` (exact three-valued behaviour of the source
     rules) or ``"as_empty"``. ``on_error``: ``"fail"`` (a kept row whose
     amount or date cannot be cast raises) or ``"null"``.
@@ -184,6 +189,8 @@ def clean_transactions(raw: DataFrame, *, null_notes: str = "sql", on_error: str
     if upto is not None and upto not in STEP_IDS:
         raise ValueError(f"unknown step {upto!r}; expected one of {STEP_IDS}")
     df = _require_arrival(raw) if dedup else raw
+    if tally:
+        df = df.withColumns(tally)
     if upto != "C1":
         for step in _row_steps(null_notes, on_error):
             df = df.withColumns(step.build())
@@ -198,7 +205,9 @@ def clean_transactions(raw: DataFrame, *, null_notes: str = "sql", on_error: str
         df = (dedup_first_packed(df, keep, "transaction_id", dedup_order) if dedup
               else df.select("transaction_id", *(c for c in keep if c != "transaction_id")))
         return _raise_on_errors(df).select("transaction_id", *(c for c in columns if c != "transaction_id"))
-    if dedup:
+    if tally and dedup:
+        df = dedup_first_packed(df, [c for c in df.columns if c not in tally], "transaction_id", dedup_order, sums=tuple(tally))
+    elif dedup:
         df = dedup_first(df, "transaction_id", dedup_order)
     return _raise_on_errors(df).drop(ARRIVAL)
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..operators import quality as D
 from ..operators.cleaning import clean_customers, clean_transactions
+from ..operators.profile import write_profiled
 from ..sources import fixtures
 from ..session import ensure_checkpoint_dir
 from ..sources.catalog import list_views, register_views, views_over
@@ -331,6 +332,15 @@ def _d05(t: Tables):
     return D.duplicate_keys(t.dedup, "transaction_id", n=None)
 
 
+@query("d_profile_one_pass")
+def _d_profile(t: Tables):
+    """D2, D4, D6, D12, D15-D18, A6 as one job counts them while it writes the cleaned
+    fact: (check_id, metric, value)."""
+    found = write_profiled(t.raw, _shared(t, "clean-fact"))
+    return t.spark.createDataFrame([(*name.split(".", 1), None if v is None else float(v)) for name, v in found.items()],
+                                   "check_id string, metric string, value double")
+
+
 @query("d06_null_counts")
 def _d06(t: Tables):
     return D.null_counts(t.clean, {"remaining_null_names": "customer_name",

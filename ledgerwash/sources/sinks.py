@@ -9,24 +9,28 @@ are renewed are published as snapshots instead (``sources.publish``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+Watch = Callable[[DataFrame], DataFrame]
+
 
-def _write_by_month(df: DataFrame, date_col: str, path: str, mode: str) -> None:
+def _write_by_month(df: DataFrame, date_col: str, path: str, mode: str, watch: Watch | None = None) -> None:
     """Parquet in ``year_month`` folders. The rebalance hint lets AQE size the
     writing tasks by data: a large month is split over several, small months
     share one, so the number of files follows the size of the data and not
-    the number of tasks."""
-    out = df.withColumn("year_month", F.date_format(date_col, "yyyy-MM"))
-    out.hint("rebalance", F.col("year_month")).write.mode(mode).partitionBy("year_month").parquet(path)
+    the number of tasks. ``watch`` sees the rows in the writing tasks."""
+    out = df.withColumn("year_month", F.date_format(date_col, "yyyy-MM")).hint("rebalance", F.col("year_month"))
+    (watch(out) if watch else out).write.mode(mode).partitionBy("year_month").parquet(path)
 
 
-def write_clean_fact(clean: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_clean_fact(clean: DataFrame, path: str, mode: str = "overwrite", watch: Watch | None = None) -> None:
     """Persist the cleaned fact partitioned by month of the clean date
     (``year_month``), so month filters prune files. Rows without a clean date
     land in the ``__HIVE_DEFAULT_PARTITION__`` partition."""
-    _write_by_month(clean, "transaction_date_clean", path, mode)
+    _write_by_month(clean, "transaction_date_clean", path, mode, watch)
 
 
 def read_clean_fact(spark: SparkSession, path: str, months=None) -> DataFrame:
