@@ -212,6 +212,18 @@ def clean_transactions(raw: DataFrame, *, null_notes: str = "sql", on_error: str
     return _raise_on_errors(df).drop(ARRIVAL)
 
 
+def cast_errors(raw: DataFrame, null_notes: str = "sql") -> DataFrame:
+    """The raw rows as they are, with two booleans: whether the strict casts of C13
+    (``AMOUNT_ERROR``) and C15 (``DATE_ERROR``) would raise for the row."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in raw.columns)).alias("_raw")
+    df = raw.select("*", whole)
+    for step in _row_steps(null_notes, "fail"):
+        df = df.withColumns(step.build())
+    df = _finish_row_steps(df, strict=True)
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
+    return df.select("_raw.*", flag(AMOUNT_ERROR), flag(DATE_ERROR))
+
+
 def clean_customers(raw: DataFrame) -> DataFrame:
     """Squeeze whitespace in ``full_name``; NULL stays NULL."""
     return raw.withColumn("full_name", text.squeeze_whitespace("full_name"))

@@ -25,6 +25,7 @@ from ..sources import fixtures
 from ..session import ensure_checkpoint_dir
 from ..sources.catalog import list_views, register_views, views_over
 from ..sources.publish import Publication
+from ..sources.quarantine import accepted, load_checked, rejects, sort_out
 from ..sources.raw import load_raw
 from ..sources.schema import CUSTOMER_LENGTH_LIMITS, RAW_TEXT_COLUMNS, TRANSACTION_LENGTH_LIMITS
 from ..sources.sinks import read_clean_fact, write_clean_fact
@@ -199,15 +200,16 @@ def _shared(t: Tables, name: str) -> str:
 
 @query("a3_load_raw_csv")
 def _a3(t: Tables):
-    """A3: the raw rows land as CSV files of the 13 columns in three arrivals
-    (few originals, the other originals, every re-sent copy), are loaded as
-    text and cleaned; without ``ingest_seq`` the files' own order decides which
-    copy came first. Rows without an id are left out: parallel writers give
-    them no first arrival that SQL could name."""
+    """A3: the raw rows land as CSV files of the 13 columns in four arrivals (the first
+    row without an id, few originals, the other originals, every re-sent copy), are
+    loaded as text and cleaned; without ``ingest_seq`` the files' own order decides
+    which copy came first."""
     path = _shared(t, "csv")
     few = F.expr("ingest_seq = 1 AND k % 10 = 0")
-    named = t.raw.where("transaction_id IS NOT NULL")
-    for arrival in (named.where(few), named.where(~few & (F.col("ingest_seq") == 1)), named.where("ingest_seq = 2")):
+    order = [F.col(c).asc_nulls_last() for c in ("ingest_seq", "amount", "transaction_date", "k")]
+    # All rows without an id are one group; its first row lands alone, once more among the others.
+    nameless = t.raw.where("transaction_id IS NULL").orderBy(*order).limit(1)
+    for arrival in (nameless, t.raw.where(few), t.raw.where(~few & (F.col("ingest_seq") == 1)), t.raw.where("ingest_seq = 2")):
         # Rows of one id are in one partition; a few ids come twice in one arrival, the smaller amount text first.
         (arrival.sortWithinPartitions("amount", "transaction_date", "k").select(*RAW_TEXT_COLUMNS)
          .write.mode("append").option("header", "true").option("nullValue", "\\N")
@@ -215,6 +217,22 @@ def _a3(t: Tables):
     return clean_transactions(load_raw(t.spark, path, fmt="csv", nullValue="\\N")).drop("ingest_seq", "k")
 
 
+@query("a3_quarantine")
+def _a3q(t: Tables):
+    """Raw rows with amounts and dates that no cast takes land as CSV,
+    some lines cut off; each line is kept or rejected with its reasons."""
+    path, out = _shared(t, "csv"), _shared(t, "checked")
+    options = {"nullValue": "\\N", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    raw = fixtures.raw_transactions(t.spark, t.sf_dir, junk=True)
+    line = F.to_csv(F.struct(*RAW_TEXT_COLUMNS), options)
+    raw.select(F.when(F.col("k") % 701 == 0, F.substring_index(line, ",", 4)).otherwise(line)).write.text(path)
+    sort_out(load_checked(t.spark, path, "csv", header="false", nullValue="\\N"), out)
+    kept, rejected = accepted(t.spark, out), rejects(t.spark, out)
+    columns = ["transaction_id", "customer_id", "amount", "transaction_date"]
+    return kept.select(*columns, F.lit("kept").alias("outcome")).unionByName(
+        rejected.select(*columns, F.array_join("reasons", "; ").alias("outcome")))
+
+
 @query("a8_views_by_name")
 def _a8(t: Tables):
     """The view stack over a saved cleaned fact registered, listed, and
