@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import flags
 from ..functions.dates import text_period
 from ..functions.money import avg2, exact_avg, exact_stddev_samp, ratio2, share_of_total, sum2
+from ..operators import prefix
 from ..sources.schema import DEBIT
 
 AMT = "amount_clean"
@@ -202,31 +203,15 @@ def running_totals(clean: DataFrame, customers: DataFrame, top: int = 5, n: int
             .select("customer_id", "full_name", DT, "merchant_name", AMT, "running_total_ngn", "transaction_number"))
 
 
-def running_totals_all(rows: DataFrame) -> DataFrame:
-    """Running total and sequence number over every row, in (customer,
-    date, id) order, without sending a customer's whole history to one task.
-
-    Two levels: per (customer, day) totals get the sum and count of all
-    earlier days with a window over days (bounded by the number of distinct
-    days, not rows); each row then adds its running position inside its own
-    (customer, day), a window partitioned by (customer, day) that shares the
-    join's partitioning. A customer with a large share of the rows is spread
-    over its days. Rows need a customer and a date (as Q7's filter ensures).
-    """
-    day_key = ["customer_id", DT]
-    daily = rows.groupBy(*day_key).agg(F.sum(AMT).alias("_day_sum"), F.count(F.lit(1)).alias("_day_n"))
-    before = Window.partitionBy("customer_id").orderBy(F.col(DT).asc_nulls_last()).rowsBetween(
-        Window.unboundedPreceding, -1)
-    daily = daily.select(*day_key,
-                         F.coalesce(F.sum("_day_sum").over(before), F.lit(0)).alias("_before_sum"),
-                         F.coalesce(F.sum("_day_n").over(before), F.lit(0)).alias("_before_n"))
-    within = Window.partitionBy(*day_key).orderBy(F.col("transaction_id").asc_nulls_last())
-    running = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = rows.join(daily, day_key, "inner")
-    return joined.select(
-        "customer_id", "transaction_id", DT, "merchant_name", AMT,
-        F.round(F.col("_before_sum") + F.sum(AMT).over(running), 2).alias("running_total_ngn"),
-        (F.col("_before_n") + F.row_number().over(within)).cast("bigint").alias("transaction_number"))
+def running_totals_all(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Running total and sequence number over every row, in (customer, date, id) order,
+    without sending a customer's whole history, or one day of it, to one task: a
+    two-pass prefix sum over range partitions (``operators.prefix``). Rows of no
+    customer are one group."""
+    order = [F.col(DT).asc_nulls_last(), F.col("transaction_id").asc_nulls_last()]
+    columns = ["customer_id", "transaction_id", DT, "merchant_name", AMT]
+    out = prefix.running_totals(rows.select(*columns), "customer_id", order, AMT, "running_total_ngn", "transaction_number", partitions)
+    return out.withColumn("running_total_ngn", F.round("running_total_ngn", 2))
 
 
 # -- Q8 ---------------------------------------------------------------------------

@@ -508,6 +508,12 @@ def _q7(t: Tables):
     return Q.running_totals(clean, t.customers, top=5, n=50)
 
 
+@query("q7_running_totals_all")
+def _q7_all(t: Tables):
+    """Q7 for every customer and row, without a limit."""
+    return Q.running_totals_all(t.clean.filter(Q.spend_filter()))
+
+
 @query("q8a_customer_baseline")
 def _q8a(t: Tables):
     return Q.customer_baseline(t.clean, min_history=10, rounded=True)
