@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import bitmaps
 from ..operators import quality as D
 from ..operators.cleaning import clean_customers, clean_transactions
 from ..operators.profile import write_profiled
@@ -271,6 +272,24 @@ def _a10p(t: Tables):
     return reduce(DataFrame.unionByName, found)
 
 
+@query("v3_active_customers_from_bitmaps")
+def _v3_bitmaps(t: Tables):
+    """V3's distinct customers by month, quarter and year and over all, each from the
+    stored sets of the months."""
+    path = _shared(t, "month-sets")
+    fact = Publication(t.spark, path)
+    fact.publish({"fact": t.fact})
+    rows = fact.read("fact")
+    fact.publish({"sets": V.monthly_customer_sets(rows, bitmaps.extended(rows.select("customer_id")))})
+    sets = fact.read("sets")
+    year = F.substring("year_month", 1, 4)
+    periods = {"month": F.col("year_month"), "year": year, "all": F.lit("all"),
+               "quarter": F.concat(year, F.lit("-Q"), F.ceil(F.substring("year_month", 6, 2).cast("int") / 3).cast("string"))}
+    return reduce(DataFrame.unionByName, (
+        bitmaps.distinct_counts(sets.withColumn("period", p), ["period"], "active_customers").select(
+            F.lit(name).alias("span"), "period", "active_customers") for name, p in periods.items()))
+
+
 @query("v_incremental_marts")
 def _v_inc(t: Tables):
     """V2-V6, K1 after three batches of cleaned rows, from merged states; one row a

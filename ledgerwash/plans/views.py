@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import avg2, exact_avg, exact_stddev_samp, ratio2, share_of_total, sum2
+from ..operators import bitmaps
 from ..sources.schema import CREDIT, DEBIT
 from .analysis import AMT, DT, attach_customers, sigma, spend_filter
 
@@ -66,6 +67,17 @@ def vw_monthly_summary(fact: DataFrame) -> DataFrame:
                     "active_customers"))
 
 
+def monthly_customer_sets(fact: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The active customers of each month as bitmaps to be stored (``operators.bitmaps``)."""
+    months = fact.select(F.date_format("transaction_date", "yyyy-MM").alias("year_month"), "customer_id")
+    return bitmaps.bitmaps(months, ["year_month"], "customer_id", dictionary)
+
+
+def active_customers_between(sets: DataFrame, first: str, last: str) -> DataFrame:
+    """V3's distinct count over a range of months, from stored sets alone."""
+    return bitmaps.distinct_counts(sets.where(F.col("year_month").between(first, last)), [], "active_customers")
+
+
 def vw_customer_summary(fact: DataFrame, customers: DataFrame) -> DataFrame:
     """V4 (on ``clean_fact``): aggregate per customer, then attach the
     dimension's attributes (one row per customer crosses the join).
