@@ -10,6 +10,7 @@ one-to-one with the SQL oracle.
 
 from __future__ import annotations
 
+import datetime
 import uuid
 from functools import reduce
 from typing import Callable
@@ -25,6 +26,7 @@ from ..operators.profile import write_profiled
 from ..sources import fixtures
 from ..session import ensure_checkpoint_dir
 from ..sources.catalog import list_views, register_views, views_over
+from ..sources.clustered import between, read_clustered, write_clustered
 from ..sources.publish import Publication
 from ..sources.quarantine import accepted, load_checked, rejects, sort_out
 from ..sources.raw import load_raw
@@ -552,6 +554,16 @@ def _v1(t: Tables):
     return V.vw_clean_transactions(t.clean, t.customers)
 
 
+@query("v1_quarter_from_clustered_fact")
+def _v1_clustered(t: Tables):
+    """V1 of one quarter, from the fact laid out by month and customer: other months'
+    folders are not read."""
+    path = _shared(t, "clustered")
+    write_clustered(t.clean, path)
+    quarter = between(read_clustered(t.spark, path), datetime.date(2023, 4, 1), datetime.date(2023, 6, 30))
+    return V.vw_clean_transactions(quarter, t.customers)
+
+
 @query("v2_category_summary")
 def _v2(t: Tables):
     return V.vw_category_summary(t.fact)
