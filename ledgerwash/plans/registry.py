@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import bitmaps
+from ..operators import bitmaps, variants
 from ..operators import quality as D
 from ..operators.cleaning import clean_customers, clean_transactions
 from ..operators.profile import write_profiled
@@ -445,6 +445,12 @@ def _d11(t: Tables):
     return D.value_frequency(t.clean, "merchant_name", count_name="times_appeared", order="count")
 
 
+@query("d11_variant_candidates")
+def _d11_variants(t: Tables):
+    """Merchant spellings before C11, grouped as likely variants."""
+    return variants.variant_candidates(t.upto("C10d"))
+
+
 @query("d12_zero_amount_count")
 def _d12(t: Tables):
     return D.zero_amount_count(t.dedup)
