@@ -106,7 +106,7 @@ WITH words AS (
   SELECT g.k, len(grams) AS held, g.pos AS dpos, g.gram FROM grammed g JOIN listed l ON g.kind = l.kind AND g.k = l.k
   WHERE g.kind = 'd' AND g.gram IN (SELECT gram FROM places)
 ), aligned AS (
-  SELECT DISTINCT k, item, n, greatest(least(dpos - item_at, held - n), 0) AS start FROM spots JOIN places USING (gram)
+  SELECT DISTINCT k, item, n, greatest(least(dpos, held - n), 0) AS start FROM spots JOIN places USING (gram)
 ), windows AS (
   SELECT a.k, a.item, d.grams[a.start + 1:a.start + a.n] AS w, b.grams AS g
   FROM aligned a JOIN listed d ON d.kind = 'd' AND d.k = a.k JOIN listed b ON b.kind = 'b' AND b.k = a.item
