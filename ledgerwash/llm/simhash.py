@@ -31,6 +31,7 @@ from pyspark.sql import types as T
 
 from ledgerwash.llm.graph import components
 from ledgerwash.llm.memo import forgetful
+from ledgerwash.llm.rowkey import KEY, key_columns
 from ledgerwash.llm.scratch import written
 
 SHINGLE = 3
@@ -124,19 +125,35 @@ def report(df: DataFrame) -> DataFrame:
                                       "component_id")
 
 
+def _orderable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_orderable(f.dataType) for f in kind.fields)
+    return _orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
              radius: int = RADIUS, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """The row of the smallest id of each component, as it was; of several rows
-    with that id and fingerprint the first in the order of their columns."""
-    found = written(df.select(F.col(id_col).alias("id"), simhash(F.col(text_col), shingle).alias("fp")),
-                    "fingerprints")
-    classes = found.groupBy("fp").agg(F.min("id").alias("id"))
+    with that id and fingerprint the first in the order of their columns (of those
+    that have an order: maps have none).
+
+    Texts are fingerprinted once. Rows are then told apart by narrow keys (id, hash and
+    length of the text): the keys that go are a minority, and so are those of rows that
+    repeat a kept id and fingerprint, which alone are put in order."""
+    found = written(df.select(*key_columns(id_col, text_col), simhash(F.col(text_col), shingle).alias("fp")), "fingerprints")
+    classes = found.groupBy("fp").agg(F.min("id.id").alias("id"))
     tree = classes.join(roots(classes.select("fp"), radius, max_bucket), "fp")
     best = tree.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("fp"))).alias("s"))
-    chosen = best.select("s.id", "s.fp")
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"),
-                     simhash(F.col(text_col), shingle).alias("fp")).alias("r")
-    same = (F.col("r.fp") == F.col("c.fp")) & F.col("r.id").eqNullSafe(F.col("c.id"))
-    order = Window.partitionBy("fp", "id").orderBy("row")
-    return (rows.join(chosen.alias("c"), same, "left_semi").withColumn("n", F.row_number().over(order))
-            .where("n = 1").select("row.*"))
+    # One row a fingerprint, with its id if it is the one that stays.
+    chosen = tree.join(best, "root").select("fp", F.when(F.col("fp") == F.col("s.fp"), F.struct(F.col("s.id").alias("id"))).alias("stays"))
+    keys = found.groupBy(*KEY, "fp").agg(F.count("*").alias("rows")).join(chosen, "fp").withColumn(
+        "stays", F.coalesce(F.col("id").eqNullSafe(F.col("stays")), F.lit(False)))
+    several = keys.where("stays").groupBy("fp").agg(F.sum("rows").alias("rows")).where("rows > 1").select("fp", F.lit(True).alias("several"))
+    other = written(keys.drop("rows").join(several, "fp", "left").where("NOT stays OR several"), "other")
+    keyed = df.select(F.struct(*df.columns).alias("row"), *key_columns(id_col, text_col))
+    rest = keyed.join(other.select(*KEY), list(KEY), "left_anti").select("row.*")
+    again = keyed.join(other.where("stays").select(*KEY, "fp"), list(KEY))
+    columns = [F.col(f"row.`{f.name}`") for f in df.schema.fields if _orderable(f.dataType)]
+    order = Window.partitionBy("fp").orderBy(*columns)
+    first = again.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")
+    return rest.unionByName(first)
