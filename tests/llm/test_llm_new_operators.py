@@ -330,3 +330,57 @@ def test_parts_of_a_hot_ending_are_dealt_without_broadcasts(spark):
         assert found.count() == 300
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+# op10, pipeline
+
+def test_the_hamming_index_finds_all_within_the_radius_and_few_others(spark):
+    from ledgerwash.llm import decontam
+    rng = random.Random(12)
+    prints = [rng.getrandbits(64) for _ in range(400)]
+    near = []
+    for i, p in enumerate(prints[:300]):
+        for bit in rng.sample(range(64), rng.randint(0, 15)):
+            p ^= 1 << bit
+        near.append(p)
+    near += [rng.getrandbits(64) for _ in range(500)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    windows = spark.createDataFrame([(f"w{i}", 7, signed(p)) for i, p in enumerate(near)], "window_id string, n int, print bigint")
+    items = spark.createDataFrame([(i, 7, signed(p)) for i, p in enumerate(prints)], "item_id bigint, n int, print bigint")
+    met = {(r.window_id, r.item_id) for r in decontam.candidates(windows, items).select("window_id", "item_id").collect()}
+    within = {(f"w{i}", j) for i, a in enumerate(near) for j, b in enumerate(prints) if (a ^ b).bit_count() <= decontam.RADIUS}
+    assert within <= met and len(within) >= 300
+    assert len(met - within) <= 0.05 * len(near) * len(prints)
+
+
+def test_passages_at_the_threshold_are_found(spark):
+    """Passages with one word in 25 replaced: recall against brute force."""
+    from ledgerwash.llm import decontam
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [[word() for _ in range(rng.randint(30, 60))] for _ in range(150)]
+    rows, want = [], set()
+    for i, item in enumerate(items):
+        told = list(item)
+        for at in rng.sample(range(len(told)), rng.choice([0, 1, 1])):
+            told[at] = word()
+        text = [word() for _ in range(20)] + told + [word() for _ in range(20)]
+        rows.append((i, " ".join(text)))
+        grams = Counter(zip(*(item[j:] for j in range(5)), strict=False))
+        n, own = sum(grams.values()), list(zip(*(text[j:] for j in range(5)), strict=False))
+        best = max((c := sum((Counter(own[s:s + n]) & grams).values())) / (2 * n - c) for s in range(len(own) - n + 1))
+        want |= {i} if best >= 0.8 else set()
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id bigint, text string")
+    got = {r.doc_id for r in decontam.leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).where("contaminated").collect()}
+    assert got <= want and len(want) > 100 and len(got) >= 0.99 * len(want)
+
+
+def test_one_row_of_each_group_stays_whatever_its_columns(spark):
+    from ledgerwash.llm import simhash
+    same = "one two three four five six seven"
+    rows = [(3, same, 2, {"k": 1}), (3, same, 1, {"k": 2}), (3, same, 1, {"k": 2}), (5, same, 0, None), (None, same, 0, None),
+            (None, "quite another text here", 4, {}), (None, "quite another text here", 3, {}), (8, "a third text of words", 9, {})]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, rank int, extra map<string,int>").repartition(3)
+    got = sorted((r.doc_id or -1, r.text, r["rank"], r.extra) for r in simhash.keep_one(df).collect())
+    assert got == [(-1, "quite another text here", 3, {}), (3, same, 1, {"k": 2}), (8, "a third text of words", 9, {})]
+    assert simhash.keep_one(df.limit(0)).collect() == []
