@@ -3,7 +3,8 @@ skip-grams.
 
 Features of a text are the distinct hash buckets of its words, word pairs, and
 pairs with one word skipped. Training reads a bounded, deterministic sample of
-the labelled rows (``per_class`` of each label, by hash of the id) in one task;
+the labelled rows (``per_class`` of each label, by hash of the id) in one task, as a
+sorted stream of ``epochs`` passes, of which it holds a batch;
 the bias is then corrected by the labels' sampling rates, so that scores follow
 the labels' true shares whatever the size of the table. Per-coordinate learning rates and an L1 penalty leave few weights that are not
 zero, so the model is a short list that goes to every executor. Scoring reads
@@ -24,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,7 +34,8 @@ from pyspark.sql import types as T
 from ledgerwash.llm.memo import Memo, forgetful
 
 BITS = 20
-PER_CLASS = 5_000
+PER_CLASS = 8_000
+EPOCHS = 4
 _WORD = re.compile(r"[^\W\d_]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIR, _SKIP = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -85,29 +86,33 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z >= 0 else 1 - 1 / (1 + math.exp(z))
 
 
-def ftrl(rows: list[tuple[int, np.ndarray]], bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0,
-         l2: float = 1.0, epochs: int = 4) -> Model:
-    """FTRL-proximal over (label, distinct buckets) rows, in the given order;
-    the last coordinate is the bias, which has no penalty."""
-    size = 1 << bits
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
+class Ftrl:
+    """FTRL-proximal, fed row by row; the last coordinate is the bias, which has no
+    penalty."""
 
-    def weights(i: np.ndarray) -> np.ndarray:
-        zi, penalty = z[i], np.where(i == size, 0.0, l1)
-        w = -(zi - np.sign(zi) * penalty) / ((beta + np.sqrt(n[i])) / alpha + l2)
+    def __init__(self, bits: int, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
+        self.bits, self.size = bits, 1 << bits
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.n = np.zeros(self.size + 1), np.zeros(self.size + 1)
+
+    def weights(self, i: np.ndarray) -> np.ndarray:
+        zi, penalty = self.z[i], np.where(i == self.size, 0.0, self.l1)
+        w = -(zi - np.sign(zi) * penalty) / ((self.beta + np.sqrt(self.n[i])) / self.alpha + self.l2)
         return np.where(np.abs(zi) <= penalty, 0.0, w)
 
-    for _ in range(epochs):
-        for label, buckets in rows:
-            i = np.append(buckets, size)
-            w = weights(i)
-            g = 1 / (1 + math.exp(-max(-35.0, min(35.0, w.sum())))) - label
-            sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
-            z[i] += g - sigma * w
-            n[i] += g * g
-    final = weights(np.arange(size + 1))
-    kept = np.flatnonzero(final[:size])
-    return Model(kept.astype(np.int32), final[kept], float(final[size]), bits)
+    def step(self, label: int, buckets: np.ndarray) -> None:
+        i = np.append(buckets, self.size)
+        w = self.weights(i)
+        g = 1 / (1 + math.exp(-max(-35.0, min(35.0, w.sum())))) - label
+        before = self.n[i]
+        sigma = (np.sqrt(before + g * g) - np.sqrt(before)) / self.alpha
+        self.z[i] += g - sigma * w
+        self.n[i] += g * g
+
+    def model(self) -> Model:
+        final = self.weights(np.arange(self.size + 1))
+        kept = np.flatnonzero(final[:self.size])
+        return Model(kept.astype(np.int32), final[kept], float(final[self.size]), self.bits)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -126,7 +131,7 @@ def _distinct_buckets(bits: int):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "toxic", per_class: int = PER_CLASS, bits: int = BITS) -> Model:
+        label_col: str = "toxic", per_class: int = PER_CLASS, bits: int = BITS, epochs: int = EPOCHS) -> Model:
     """Learn from at most ``per_class`` rows of each label that are not held out."""
     marked = (labels.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col)) & F.col(label_col).isin(0, 1))
               .groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label")))
@@ -143,17 +148,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .groupBy("id", "label").agg(F.min("buckets").alias("buckets")))
 
     @forgetful
-    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data = pd.concat([*frames, pd.DataFrame({"id": [], "label": [], "buckets": []})])
-        data["order"] = [xxhash.xxh64_intdigest(str(i)) for i in data["id"]]
-        data = data.sort_values(["order", "id"])
-        pairs = [(int(y), np.asarray(b, np.int32)) for y, b in zip(data["label"], data["buckets"], strict=True)]
-        if len({y for y, _ in pairs}) == 2:
-            m = ftrl(pairs, bits)
-            yield pd.DataFrame({"bucket": [m.bucket], "weight": [m.weight], "bias": [m.bias]})
-
-    got = (rows.select("id", "label", "buckets").repartition(1)
-           .mapInPandas(train, "bucket array<int>, weight array<double>, bias double").collect())
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner, seen = Ftrl(bits), set()
+        for batch in batches:
+            for label, buckets in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                learner.step(label, np.asarray(buckets.values))
+                seen.add(label)
+        if len(seen) == 2:
+            m = learner.model()
+            yield pa.RecordBatch.from_pydict({"bucket": [m.bucket], "weight": [m.weight], "bias": [m.bias]}, schema=pa.schema(
+                [("bucket", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64())), ("bias", pa.float64())]))
+
+    # The rows pass through the one training task as a sorted stream, once an epoch, and it
+    # holds a batch of them and the weights.
+    stream = (rows.select("label", "buckets", F.xxhash64("id").alias("order"), "id",
+                          F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("epoch"))
+              .repartition(1).sortWithinPartitions("epoch", "order", "id"))
+    got = stream.select("label", "buckets").mapInArrow(train, "bucket array<int>, weight array<double>, bias double").collect()
     if not got:
         return Model(np.zeros(0, np.int32), np.zeros(0), 0.0, bits, known=False)
     return Model(np.asarray(got[0].bucket, np.int32), np.asarray(got[0].weight, float), got[0].bias - added, bits)
