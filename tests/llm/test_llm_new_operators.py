@@ -384,3 +384,95 @@ def test_one_row_of_each_group_stays_whatever_its_columns(spark):
     got = sorted((r.doc_id or -1, r.text, r["rank"], r.extra) for r in simhash.keep_one(df).collect())
     assert got == [(-1, "quite another text here", 3, {}), (3, same, 1, {"k": 2}), (8, "a third text of words", 9, {})]
     assert simhash.keep_one(df.limit(0)).collect() == []
+
+
+# op8
+
+def neutral(page):
+    """The page without any tag name or class word that tells what a group is."""
+    names = {t: f"x{i}" for i, t in enumerate("article main nav aside footer header form button section".split())}
+    page = re.sub(rf"<(/?)({'|'.join(names)})\b", lambda m: f"<{m[1]}{names[m[2]]}", page)
+    words = lambda m: m[1] + '="' + " ".join(f"n{zlib.crc32(w.encode()) % 9973}" for w in m[2].split()) + '"'
+    return re.sub(r'\b(class|id|role)="([^"]*)"', words, page)
+
+
+def test_wrappers_find_the_article_where_nothing_names_it(spark):
+    """All pages come out alike when tags and classes say nothing; not so without wrappers."""
+    import json
+
+    from ledgerwash.llm import extract
+    told = {r.page_id: (r.text, r.url) for r in QUERIES["op8_extract"](spark, MIDDLE).collect()}
+    pages = spark.createDataFrame([(i, u, neutral(h or "")) for i, u, h in _rows(spark, "pages", "page_id", "url", "html")], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in extract.extracted(pages).collect()}
+    assert got == {i: t for i, (t, _) in told.items()} and len(got) == 250
+    alone = {r.page_id: extract.main_text(r.html, None) for r in pages.collect()}
+    assert sum(alone[i] != t for i, t in got.items()) >= 4
+    hosted = pages.select(extract.host_of(F.col("url")).alias("host"), F.col("html").alias("page"))
+    assert {r.path and json.loads(r.path)[-1] for r in extract.wrappers(hosted).collect()} == {"x0"}
+
+
+def test_alignment_is_a_longest_common_subsequence_of_any_length():
+    from ledgerwash.llm import extract
+    rng = random.Random(7)
+    for _ in range(200):
+        x, y = (np.array([rng.randrange(4) for _ in range(rng.randint(0, 14))], np.int64) for _ in "xy")
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, j in itertools.product(reversed(range(len(x))), reversed(range(len(y)))):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+        pairs = extract.common(x, y)
+        assert len(pairs) == best[0][0] and all(x[i] == y[j] for i, j in pairs)
+        assert all(a < c and b < d for (a, b), (c, d) in itertools.pairwise(pairs))
+    long = np.arange(4000) % 7
+    assert len(extract.common(long, np.concatenate([long[5:], [9], long[:5]]))) >= 3995
+    page = "<html><body>" + "".join(f"<p class=c{i % 900}>a{i}</p><div class=d{i % 901}>b{i}</div>" for i in range(3000)) + "</body></html>"
+    other = re.sub(">([ab])", r">z\1", page).replace("<p class=c7>", "<h2>new</h2><p class=c7>")
+    assert extract.article_path(extract.infer([page, other]), False) == ["html", "body"]
+
+
+def test_a_host_of_long_pages_has_a_wrapper(spark):
+    from ledgerwash.llm import extract
+    pages = [(f"http://h/{i}", f"<html><body><x1>menu {i}</x1><x2><p>{'word ' * 60_000}</p><p>{i}</p></x2></body></html>") for i in range(3)]
+    df = spark.createDataFrame(pages, "url string, html string")
+    hosted = df.select(extract.host_of(F.col("url")).alias("host"), F.col("html").alias("page"))
+    assert extract.wrappers(hosted).count() == 1
+
+
+# op6
+
+def test_training_equals_a_plain_loop_over_coordinates(spark):
+    """FTRL-proximal, one coordinate at a time in plain Python, over the same rows."""
+    import math
+
+    from ledgerwash.llm import toxicity
+    rng = random.Random(3)
+    vocabulary = ["good", "fine", "calm", "vile", "hate", "scum", "word", "text", "more", "last"]
+    rows = []
+    for i in range(400):
+        toxic = rng.random() < 0.5
+        rows.append((i, " ".join(rng.choice(vocabulary[3:6] if toxic and rng.random() < 0.5 else vocabulary) for _ in range(rng.randint(1, 12))), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int").repartition(4)
+    model = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"), bits=10)
+    trains = df.where(~toxicity.held_out(F.col("doc_id")))
+    order = [r.doc_id for r in trains.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    hasher = toxicity.Hasher(10)
+    by_id = {i: (t, y) for i, t, y in rows}
+    z, n, bias = defaultdict(float), defaultdict(float), 1 << 10
+
+    def weight(c):
+        penalty = 0.0 if c == bias else 8.0
+        return 0.0 if abs(z[c]) <= penalty else -(z[c] - math.copysign(penalty, z[c])) / ((1.0 + math.sqrt(n[c])) / 1.0 + 1.0)
+
+    for _ in range(4):
+        for i in order:
+            text, label = by_id[i]
+            coordinates = [*sorted(set(hasher.buckets(text).tolist())), bias]
+            w = {c: weight(c) for c in coordinates}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for c in coordinates:
+                sigma = math.sqrt(n[c] + g * g) - math.sqrt(n[c])
+                z[c] += g - sigma * w[c]
+                n[c] += g * g
+    want = {c: weight(c) for c in range(1 << 10) if weight(c) != 0.0}
+    assert len(want) > 5 and model.bucket.tolist() == sorted(want)
+    assert np.allclose(model.weight, [want[c] for c in sorted(want)], rtol=1e-9)
+    assert abs(model.bias - weight(bias)) < 1e-9
