@@ -101,8 +101,9 @@ def candidates(prints: DataFrame, wanted: DataFrame, radius: int = RADIUS) -> Da
     (item_id, n, print) of one size that meet in the index; all within ``radius`` do."""
     x = prints.select("window_id", "n", F.col("print").alias("p"), F.explode(F.expr(blocks("print"))).alias("b")).select(
         "window_id", "n", "p", "b.block", "b.bits")
-    y = wanted.select("item_id", "n", F.col("print").alias("q"), F.explode(probes("print", radius)).alias("b")).select(
-        "item_id", "n", "q", "b.block", "b.bits")
+    # Written: Spark would guess the size of the unexploded items and broadcast all entries.
+    y = written(wanted.select("item_id", "n", F.col("print").alias("q"), F.explode(probes("print", radius)).alias("b")).select(
+        "item_id", "n", "q", "b.block", "b.bits"), "probes")
     return x.join(y, ["n", "block", "bits"]).select("window_id", "n", "item_id", "p", "q")
 
 
