@@ -6,9 +6,10 @@ import random
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from ledgerwash.llm import ann, decontam, extract, licenses, pii, toxicity
+from ledgerwash.llm import ann, decontam, extract, licenses, pii, scratch, toxicity
 from test_llm_edges import PROSE, brute_leaks, docs
 
 
@@ -120,3 +121,73 @@ def test_long_secrets_are_found_whole():
     started = time.monotonic()
     pii.find_spans("token=\"token:'x" * 100_000 + "token=" * 100_000, auto)
     assert time.monotonic() - started < 20
+
+
+# pipeline
+
+MORE = ("doc_id bigint, text string, lang string, source string, n_chars bigint, id string, mark string, size string, fp string, n string, "
+        "row string, label string, t string, buckets string, tags map<string,string>")
+
+
+def odd_documents(spark):
+    rows = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (6, PROSE), (6, PROSE), (7, PROSE), (None, "nobody home at all"),
+            (None, "nobody home at all"), (8, "x" * 200_000), (9, "word " * 40_000), (10, "mail me: ann@example.org \U0001f600"),
+            (11, "before " + " ".join(f"w{i}" for i in range(30)) + " after")]
+    more = [None, *"abcdefgh"]
+    return spark.createDataFrame([(i, t, None if k % 2 else "en", None, None if k % 3 else 5, *more, {"k": str(k)} if k % 2 else None)
+                                  for k, (i, t) in enumerate(rows)], MORE).repartition(3)
+
+
+def side_tables(spark, folder, labels, items):
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as P
+    item = " ".join(f"w{i}" for i in range(30))
+    sf = side_tables(spark, tmp_path, [(4, 1, None), (None, 1, 1), (77, 0, 1), (6, 1, 0)], [(1, item), (2, None), (3, ""), (4, "one"), (None, None)])
+    docs = odd_documents(spark)
+    before = docs.collect()
+    stages = dict(P.STAGES)
+    told = {n: [r for r in stages[n](spark, docs, sf).collect()] for n in stages}
+    as_sorted = lambda rows: sorted(map(repr, rows))
+    assert as_sorted(told["toxicity"]) == as_sorted(before)  # one kind of label teaches nothing
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in told["near_duplicates"]) == [
+        (False, 1), (False, 4), (False, 6), (False, 8), (False, 9), (False, 10), (False, 11), (True, 0)]
+    assert all(r in before for r in told["near_duplicates"])
+    assert as_sorted(told["decontamination"]) == as_sorted(r for r in before if r.doc_id != 11)
+    for r in told["personal_data"]:
+        assert r.n_chars == (None if r.text is None else len(r.text))
+        assert r.text == ("mail me: [EMAIL] \U0001f600" if r.doc_id == 10 else next(b.text for b in before if b.doc_id == r.doc_id))
+    assert sum(r.length for r in told["packing"] if r.doc_id == 1) == 1
+    six = [r for r in told["packing"] if r.doc_id == 6]
+    assert sum(r.length for r in six) == 2 * six[0].doc_tokens
+    assert {r.doc_id for r in told["packing"]} == {r.doc_id for r in before}
+    for name, stage in P.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        if name != "packing":
+            assert stage(spark, docs, sf).schema == docs.schema
+    none = side_tables(spark, tmp_path / "none", [], [])
+    for name in ("toxicity", "decontamination"):
+        assert as_sorted(stages[name](spark, docs, none).collect()) == as_sorted(before)
+
+
+def test_the_pipeline_deletes_what_its_operators_wrote(spark, tmp_path):
+    import os
+
+    import corpus_pipeline as P
+    sf = side_tables(spark, tmp_path, [(4, 1, 0), (6, 1, 1)], [(1, PROSE)])
+    odd_documents(spark).write.parquet(f"{sf}/documents.parquet")
+    shared = scratch.ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared))
+    with scratch.owned(spark):
+        assert P.run(spark, sf).count() > 0
+        left = {n for n in set(os.listdir(shared)) - before if n.startswith("llm-")}
+        assert sorted(n.split("-")[1] for n in left) == sorted(n for n, _ in P.STAGES[:-1])
+    assert not {n for n in set(os.listdir(shared)) - before if n.startswith("llm-")}
+    with pytest.raises(ZeroDivisionError), scratch.owned(spark):
+        scratch.written(spark.range(3), "lost")
+        1 / 0  # noqa: B018
+    assert not {n for n in set(os.listdir(shared)) - before if n.startswith("llm-")}
