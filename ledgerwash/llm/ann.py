@@ -11,10 +11,16 @@ Survivors are ranked again by the cosine of the original vectors in double
 precision.
 
 How many lists a query probes is calibrated on the sample: as many as it takes
-for ``recall`` of the sample's own true neighbours. Queries whose lists hold fewer
+for ``recall``, and two standard errors of its estimate more, of the sample's own true
+neighbours; the fewer vectors, the larger that margin. Queries whose lists hold fewer
 than ``k`` others probe more lists, four times as many a round and all at the end,
 until they have ``k`` or no candidate is left. Lists and queries meet in
-blocks of bounded size, so neither a long list nor many queries fill one task.
+blocks of bounded size, so neither a long list nor many queries fill one task. Each
+list is cut into blocks by its own length and its own number of queries: a hot list
+copies neither the vectors nor the queries of any other, and a list that nobody
+probes is not read. There are about as many lists as the root of the vectors, at most
+a quarter of the sample; beyond that lists grow with the table, so that the
+calibrated recall stays and the cost of a query grows in proportion.
 Vectors that are equal are indexed once, with their k+1 smallest ids (no more can
 be among a query's k nearest), and equal queries search once.
 
@@ -49,7 +55,6 @@ EPSILON = 2.1  # of the hypothesis test; larger abandons later
 COLUMNS = 16
 BLOCK = 4096  # vectors, and queries, that meet in one group
 COPIES = 1 << 16  # of vectors, one for each list that they probe, in one batch
-EXACT_BELOW = 1000  # so few vectors are one list
 
 
 @dataclass(frozen=True)
@@ -78,7 +83,7 @@ def fit(sample: np.ndarray, total: int, k: int, recall: float = RECALL, rounds:
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
     turned = sample @ rotation
     most = max(1, MODEL_BYTES // (8 * dim) - dim)
-    lists = 1 if total < EXACT_BELOW else max(1, min(math.isqrt(total), len(sample) // 4, most))
+    lists = max(1, min(math.isqrt(total), len(sample) // 4, most))
     centroids = turned[rng.choice(len(turned), lists, replace=False)]
     for _ in range(rounds if lists > 1 else 0):
         owner = _nearest(turned, centroids, 1)[:, 0]
@@ -92,10 +97,13 @@ def fit(sample: np.ndarray, total: int, k: int, recall: float = RECALL, rounds:
     tried = rng.choice(len(turned), min(256, len(turned)), replace=False)
     near = turned[tried] @ turned.T
     near[np.arange(len(tried)), tried] = -np.inf
-    best = np.argpartition(-near, k, axis=1)[:, :k]
+    some = min(k, len(turned) - 1)
+    best = np.argpartition(-near, some - 1, axis=1)[:, :some]
     place = np.argsort(np.argsort(-(turned[tried] @ centroids.T), axis=1), axis=1)
     needed = np.sort(place[np.arange(len(tried))[:, None], owner[best]], axis=None)
-    return Model(rotation, centroids, int(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1)
+    # A query's neighbours fail together, so queries count for the error, not pairs.
+    goal = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / len(tried)))
+    return Model(rotation, centroids, int(needed[min(len(needed) - 1, math.ceil(goal * len(needed)))]) + 1)
 
 
 def _nearest(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
@@ -152,8 +160,24 @@ def _assigned(rows: DataFrame, model, id_col: str, probes: int) -> DataFrame:
     return rows.select(id_col, "vec").mapInArrow(run, "id bigint, list int, place int, turned array<float>")
 
 
-def _scanned(base: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
-    """(q, id, dist) from each pair of blocks."""
+def _dealt(base: DataFrame, asks: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors and queries with the numbers ``part`` and ``chunk`` of the blocks in
+    which they meet: a list's vectors fall into parts and its queries into chunks of
+    about ``block``, each vector goes to all chunks of its list and each query to all
+    parts. The counts of lists are a row a list, which is bounded by the model."""
+    held = base.groupBy("list").agg(F.count("*").alias("held"))
+    asked = asks.groupBy("list").agg(F.count("*").alias("asked"))
+    counts = F.broadcast(held.join(asked, "list").select(
+        "list", F.ceil(F.col("held") / block).alias("parts"), F.ceil(F.col("asked") / block).alias("chunks")))
+    one = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
+    left = base.join(counts, "list").withColumn("part", one("parts")).withColumn("chunk", every("chunks"))
+    right = asks.join(counts, "list").withColumn("chunk", one("chunks")).withColumn("part", every("parts"))
+    return left.drop("parts", "chunks"), right.drop("parts", "chunks")
+
+
+def _scanned(base: DataFrame, asks: DataFrame, keep: int, block: int) -> DataFrame:
+    """(q, id, dist) of the lists ``base`` and the queries ``asks`` that probe them."""
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
@@ -164,7 +188,8 @@ def _scanned(base: DataFrame, probes: DataFrame, keep: int) -> DataFrame:
         return pd.DataFrame(out, columns=["q", "id", "dist"]).astype({"q": "int64", "id": "int64", "dist": "float64"})
 
     keys = ["list", "part", "chunk"]
-    return base.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(meet, "q bigint, id bigint, dist double")
+    left, right = _dealt(base, asks, block)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "q bigint, id bigint, dist double")
 
 
 def _best(found: DataFrame, keep: int) -> DataFrame:
@@ -211,26 +236,18 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     questions = asked.groupBy("vec").agg(F.min("id").alias("q"))
     questions = written(questions, "questions")
     base = written(_assigned(entries, shared, "id", 1).drop("place"), "lists")
-    longest = base.groupBy("list").count().agg(F.max("count")).first()[0]
-    parts = -(-longest // block)
-    base = base.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-
-    def dealt(some: DataFrame, count: int, probed: int) -> tuple[DataFrame, DataFrame]:
-        """The lists, and the queries ``some`` for each of their ``probed`` lists, in blocks."""
-        chunks = max(1, -(-count * probed // (block * len(model.centroids))))
-        asks = _assigned(some, shared, "q", probed).withColumn(
-            "chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int")).withColumn(
-            "part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        return base.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))), written(asks, "probes")
-
-    lists, probes = dealt(questions, questions.count(), model.probes)
+
+    def probing(some: DataFrame, probed: int) -> DataFrame:
+        return written(_assigned(some, shared, "q", probed), "probes")
+
+    probes = probing(questions, model.probes)
     keep = k + 4  # some more than k: the distances are in single precision
     no_limit = F.lit(float("inf"))
-    near = written(_best(_scanned(lists, probes.where("place = 0").withColumn("limit", no_limit), keep), keep), "near")
+    near = written(_best(_scanned(base, probes.where("place = 0").withColumn("limit", no_limit), keep, block), keep), "near")
     limits = near.groupBy("q").agg(F.max(F.when(F.col("n") == keep, F.col("dist"))).alias("limit"))
     rest = probes.where("place > 0").join(limits, F.col("id") == F.col("q"), "left").withColumn(
         "limit", F.coalesce("limit", no_limit)).drop("q")
-    found = written(_best(near.drop("n").unionByName(_scanned(lists, rest, keep)), keep).select("q", "id"), "found")
+    found = written(_best(near.drop("n").unionByName(_scanned(base, rest, keep, block)), keep).select("q", "id"), "found")
 
     # A query needs k ids besides its own, or all that there are.
     names = members.select(F.col("entry").alias("id"), F.col("id").alias("name"))
@@ -241,11 +258,11 @@ def search(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
         return written(some.join(full, "q", "left_anti"), "lacking")
 
     probed, short = model.probes, lacking(questions, found)
-    while few := short.count():
+    while not short.isEmpty():
         # All lists may be probed already, if one id's vectors fill the places: then more are kept.
         probed, keep = min(4 * probed, len(model.centroids)), keep if probed < len(model.centroids) else 4 * keep
-        lists, probes = dealt(short, few, probed)
-        more = written(_best(_scanned(lists, probes.withColumn("limit", no_limit), keep), keep).select("q", "id"), "found")
+        again = probing(short, probed).withColumn("limit", no_limit)
+        more = written(_best(_scanned(base, again, keep, block), keep).select("q", "id"), "found")
         found = found.join(short, "q", "left_anti").unionByName(more)
         short = lacking(short, more)
     scored = (found.join(questions, "q").join(entries.withColumnRenamed("vec", "other"), "id")

@@ -85,6 +85,43 @@ def test_nearest_of_outliers_and_of_one_ids_vectors(spark):
         assert len({v for _, v in got}) == 5 and q not in {v for _, v in got}
 
 
+@pytest.mark.parametrize("count,centers", [(60, 0), (700, 0), (700, 12), (6000, 40)])
+def test_recall_at_any_size(spark, count, centers):
+    rng = np.random.default_rng(count + centers)
+    x = rng.standard_normal((count, 32))
+    if centers:  # a third of all around one center
+        owner = np.where(rng.random(count) < 1 / 3, 0, rng.integers(0, centers, count))
+        x = rng.standard_normal((centers, 32))[owner] + 0.3 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, block=256).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    asked = range(0, count, 20)
+    assert set(found) == set(asked)
+    hit = 0
+    for q in asked:
+        score = x @ x[q]
+        score[q] = -2
+        assert len(found[q]) == 5
+        hit += len(found[q] & set(np.argsort(-score)[:5].tolist()))
+    assert hit / (5 * len(asked)) >= 0.9
+
+
+def test_a_hot_list_copies_no_rows_of_others(spark):
+    lists = [0] * 1000 + [n for n in range(1, 10) for _ in range(10)]
+    probed = [0] * 500 + [n for n in range(1, 9) for _ in range(5)]
+    base = spark.createDataFrame(list(enumerate(lists)), "id bigint, list int")
+    asks = spark.createDataFrame(list(enumerate(probed)), "id bigint, list int")
+    left, right = ann._dealt(base, asks, 50)
+    copies = lambda df: {r.list: r["count"] for r in df.groupBy("list").count().collect()}
+    assert copies(left) == {0: 1000 * 10} | dict.fromkeys(range(1, 9), 10)  # nobody probes list 9
+    assert copies(right) == {0: 500 * 20} | dict.fromkeys(range(1, 9), 5)
+    meet = left.join(right.withColumnRenamed("id", "q"), ["list", "part", "chunk"]).select("id", "q")
+    assert meet.count() == meet.distinct().count() == 1000 * 500 + 8 * 10 * 5
+    assert max(r["count"] for r in left.groupBy("list", "part", "chunk").count().collect()) < 2 * 50
+
+
 # op8
 
 def test_extraction_at_any_depth(spark):
