@@ -94,12 +94,17 @@ class Publication:
 
     def write(self, tables: dict[str, DataFrame], by_month: dict[str, str] | None = None,
               by: dict[str, str] | None = None) -> dict[str, list[str]]:
-        """Write each table to a new segment (``by``: partitioned by a column). Nobody
-        sees it before ``commit``."""
-        snapshot, by = f"snapshots/{int(time.time() * 1000):015}-{uuid.uuid4().hex}", by or {}
+        """Write each table to a new segment (``by``: those named, partitioned by a
+        column). Nobody sees it before ``commit``."""
+        snapshot = f"snapshots/{int(time.time() * 1000):015}-{uuid.uuid4().hex}"
+        by = {name: column for name, column in (by or {}).items() if name in tables}
         write_marts({n: df for n, df in tables.items() if n not in by}, f"{self.root}/{snapshot}", mode="error", by_month=by_month)
         for name, column in by.items():
-            tables[name].write.partitionBy(column).parquet(f"{self.root}/{snapshot}/{name}")
+            folder = f"{snapshot}/{name}"
+            tables[name].write.partitionBy(column).parquet(f"{self.root}/{folder}")
+            if not any(s.isDirectory() for s in self._fs.listStatus(self._path(folder))):
+                # No rows, no folders, and no file that tells the columns: write one.
+                self.spark.createDataFrame([], tables[name].schema).write.mode("overwrite").parquet(f"{self.root}/{folder}")
         return {name: [f"{snapshot}/{name}"] for name in tables}
 
     def commit(self, base: Version, replaced: dict[str, list[str]] | None = None,

@@ -57,6 +57,13 @@ def test_only_touched_buckets_are_read(spark):
     assert read.count() < 20_000 * 5 / 64
 
 
+def test_a_batch_that_adds_no_id(spark):
+    index = new(spark, buckets=8, pages=1)
+    index.add(ids(spark, 0, 100), "r", 0)
+    index.add(ids(spark, 0, 0), "r", 1)
+    assert left(index.unseen(ids(spark, 90, 110), "id", "r", 2)) == left(ids(spark, 100, 110))
+
+
 def test_a_replayed_batch_does_not_see_itself(spark):
     index = new(spark, buckets=8, pages=1)
     index.add(ids(spark, 0, 100), "r", 0)
