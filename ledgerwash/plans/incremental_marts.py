@@ -22,6 +22,8 @@ pass over all facts.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,9 @@ CUSTOMER_STATE = {"n": ("sum", "bigint"), "debit": ("sum", SUM), "credit": ("sum
                   "debit_first": ("min", "date"), "debit_last": ("max", "date")}
 MONTH_STATE = {"n": ("sum", "bigint"), "amount": ("sum", SUM), "debit": ("sum", SUM), "credit": ("sum", SUM)}
 TABLES = ("fact", "by_customer", "by_month", "flags")
+#: The folder column of the tables that are looked up by customer.
+BUCKET = "customer_bucket"
+BUCKETED = {"fact": BUCKET, "by_customer": BUCKET}
 
 
 def _merged(rows: DataFrame, key: tuple[str, ...], state: dict[str, tuple[str, str]]) -> DataFrame:
@@ -122,14 +127,28 @@ def baseline(state: DataFrame, min_history: int = 10) -> DataFrame:
 
 
 class IncrementalMarts:
-    """The marts of a publication, brought up to date batch by batch."""
+    """The marts of a publication, brought up to date batch by batch. ``buckets`` is fixed
+    when the marts are begun (their notes hold it): about the number of customers over
+    those of a usual batch, or more."""
 
-    def __init__(self, publication: Publication, k: float = 3.0, min_history: int = 10):
+    def __init__(self, publication: Publication, k: float = 3.0, min_history: int = 10, buckets: int = 64):
         self.publication, self.k, self.min_history = publication, k, min_history
+        self.buckets = publication.version().notes.get("buckets", buckets)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        """Rows with their bucket, a null customer's too. A bucket that a customer makes
+        large is split over tasks."""
+        bucket = F.pmod(F.xxhash64("customer_id"), F.lit(self.buckets)).cast("int")
+        return rows.withColumn(BUCKET, bucket).hint("rebalance", F.col(BUCKET)).sortWithinPartitions(BUCKET, "customer_id")
 
-    def _state(self, name: str, version: Version, more: DataFrame | None = None) -> DataFrame:
+    def _parts(self, name: str, version: Version, more: DataFrame | None = None, buckets: list[int] | None = None) -> list[DataFrame]:
+        """A table's published rows and ``more``; with ``buckets``, those folders only."""
         parts = [self.publication.read(name, version.number)] if name in version.tables else []
         parts += [more] if more is not None else []
+        return parts if buckets is None else [part.where(F.col(BUCKET).isin(buckets)) for part in parts]
+
+    def _state(self, name: str, version: Version, more: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
+        parts = self._parts(name, version, more, buckets)
         key, state = {"by_customer": (CUSTOMER_KEY, CUSTOMER_STATE), "by_month": (MONTH_KEY, MONTH_STATE)}[name]
         rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         return _merged(rows, key, state)
@@ -142,18 +161,20 @@ class IncrementalMarts:
         done = version.notes.get("batches", {})
         if done.get(run, -1) >= batch:
             return version
-        new = publication.write({"fact": V.clean_fact(cleaned)})
+        new = publication.write({"fact": self._placed(V.clean_fact(cleaned))}, by=BUCKETED)
         fresh = publication.spark.read.parquet(f"{publication.root}/{new['fact'][0]}")
-        new |= publication.write({"by_customer": customer_delta(fresh), "by_month": month_delta(fresh)})
+        new |= publication.write({"by_customer": self._placed(customer_delta(fresh)), "by_month": month_delta(fresh)}, by=BUCKETED)
         delta = publication.spark.read.parquet(f"{publication.root}/{new['by_customer'][0]}")
         touched = delta.select(F.col("customer_id").alias("_touched")).distinct()
-        whole = publication.read("fact", version.number).unionByName(fresh) if "fact" in version.tables else fresh
+        # As many numbers as there are buckets, at most.
+        buckets = sorted(r[0] for r in delta.select(BUCKET).distinct().collect())
         mine = lambda df: df.join(touched, df["customer_id"].eqNullSafe(F.col("_touched")), "left_semi")
-        base = baseline(mine(self._state("by_customer", version, delta)), self.min_history)
+        base = baseline(mine(self._state("by_customer", version, delta, buckets)), self.min_history)
+        whole = reduce(DataFrame.unionByName, self._parts("fact", version, fresh, buckets))
         flags = self._judged(mine(whole), base).groupBy("customer_id").agg(
             F.count_if(V.flagged_condition(self.k)).alias("flagged")).withColumn("version", F.lit(version.number + 1).cast("bigint"))
         new |= publication.write({"flags": flags})
-        return publication.commit(version, appended=new, notes={"batches": done | {run: batch}})
+        return publication.commit(version, appended=new, notes={"buckets": self.buckets, "batches": done | {run: batch}})
 
     @staticmethod
     def _judged(fact: DataFrame, base: DataFrame) -> DataFrame:
@@ -168,7 +189,8 @@ class IncrementalMarts:
             return version
         tables = {name: self.publication.read(name, version.number) if name == "fact" else self._flags(version)
                   if name == "flags" else self._state(name, version) for name in long}
-        return self.publication.commit(version, replaced=self.publication.write(tables))
+        tables |= {name: self._placed(tables[name]) for name in long if name in BUCKETED}
+        return self.publication.commit(version, replaced=self.publication.write(tables, by=BUCKETED))
 
     def _flags(self, version: Version) -> DataFrame:
         """The newest count of each customer."""

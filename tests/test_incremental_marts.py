@@ -80,13 +80,51 @@ def test_a_later_batch_changes_flags_of_earlier_rows(spark, tables, clean, marts
 
 def test_summaries_read_no_facts(spark, tables, clean, marts):
     marts.apply(clean, "r", 0)
-    files = lambda df: {f.split("/")[-2] for f in df.inputFiles()}
+    files = lambda df: {f.split("/snapshots/")[1].split("/")[1] for f in df.inputFiles()}
     got = marts.marts(tables.customers)
     assert files(got["vw_category_summary"]) == files(got["vw_merchant_summary"]) == {"by_customer"}
     assert files(got["vw_monthly_summary"]) == {"by_month"}
     assert "fact" not in files(got["kpi_summary"])
 
 
+def scanned(df):
+    """Rows that the scan of one segment handed on, and folders that it read."""
+    df.collect()
+    metrics = df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    return metrics.apply("numOutputRows").value(), metrics.apply("numPartitions").value()
+
+
+def test_a_batch_reads_the_buckets_of_its_customers_only(spark, tables, clean, marts):
+    many = clean.withColumn("customer_id", F.when(F.col("k") % 97 > 0, F.concat(F.lit("C"), F.col("k") % 500)))
+    few = many.where("customer_id IN ('C7', 'C8') AND k % 2 = 0")
+    marts.apply(many.join(few.select("k"), "k", "left_anti"), "r", 0)
+    marts.apply(few, "r", 1)
+    assert few.count() and marts.publication.version().notes["buckets"] == 64
+    same(marts.marts(tables.customers), recomputed(many, tables.customers))
+    # What the second batch looked at: at most two of 64 folders of either table.
+    buckets = [r[0] for r in few.select(F.pmod(F.xxhash64("customer_id"), F.lit(64)).cast("int")).distinct().collect()]
+    first = marts.publication.version(1)
+    for name in ("fact", "by_customer"):
+        part, = marts._parts(name, first, buckets=buckets)
+        (rows, folders), (all_rows, all_folders) = scanned(part), scanned(marts.publication.read(name, 1))
+        assert rows == part.count() < all_rows / 8 and folders <= 2 < all_folders, name
+
+
+def test_batches_without_rows_between_others(spark, tables, clean, marts):
+    marts.apply(clean.where("k % 2 = 0"), "r", 0)
+    marts.apply(clean.limit(0), "r", 1)
+    marts.apply(clean.where("k % 2 = 1"), "r", 2)
+    same(marts.marts(tables.customers), recomputed(clean, tables.customers))
+    marts.compact(most=1)
+    same(marts.marts(tables.customers), recomputed(clean, tables.customers))
+
+
+def test_one_customer_with_most_rows(spark, tables, clean, marts):
+    hot = clean.withColumn("customer_id", F.when(F.col("k") % 3 > 0, F.lit("C1")).otherwise(F.col("customer_id")))
+    marts.apply(hot, "r", 0)
+    same(marts.marts(tables.customers), recomputed(hot, tables.customers))
+
+
 def test_an_empty_batch_and_empty_marts(spark, tables, clean, marts):
     marts.apply(clean.limit(0), "r", 0)
     same(marts.marts(tables.customers), recomputed(clean.limit(0), tables.customers))
