@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerwash.llm import bitmap
 from ledgerwash.llm.graph import components
 from ledgerwash.llm.memo import forgetful
 from ledgerwash.llm.rowkey import KEY, key_columns
@@ -139,7 +140,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
 
     Texts are fingerprinted once. Rows are then told apart by narrow keys (id, hash and
     length of the text): the keys that go are a minority, and so are those of rows that
-    repeat a kept id and fingerprint, which alone are put in order."""
+    repeat a kept id and fingerprint, which alone are put in order. Rows that a bitmap of
+    these keys excludes stay where they are; only the others are shuffled."""
     found = written(df.select(*key_columns(id_col, text_col), simhash(F.col(text_col), shingle).alias("fp")), "fingerprints")
     classes = found.groupBy("fp").agg(F.min("id.id").alias("id"))
     tree = classes.join(roots(classes.select("fp"), radius, max_bucket), "fp")
@@ -151,8 +153,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     several = keys.where("stays").groupBy("fp").agg(F.sum("rows").alias("rows")).where("rows > 1").select("fp", F.lit(True).alias("several"))
     other = written(keys.drop("rows").join(several, "fp", "left").where("NOT stays OR several"), "other")
     keyed = df.select(F.struct(*df.columns).alias("row"), *key_columns(id_col, text_col))
-    rest = keyed.join(other.select(*KEY), list(KEY), "left_anti").select("row.*")
-    again = keyed.join(other.where("stays").select(*KEY, "fp"), list(KEY))
+    clear, touched = bitmap.split(keyed, other, list(KEY))
+    rest = clear.unionByName(touched.join(other.select(*KEY), list(KEY), "left_anti")).select("row.*")
+    again = touched.join(other.where("stays").select(*KEY, "fp"), list(KEY))
     columns = [F.col(f"row.`{f.name}`") for f in df.schema.fields if _orderable(f.dataType)]
     order = Window.partitionBy("fp").orderBy(*columns)
     first = again.withColumn("n", F.row_number().over(order)).where("n = 1").select("row.*")

@@ -228,3 +228,33 @@ def test_the_pipeline_deletes_what_its_operators_wrote(spark, tmp_path):
         scratch.written(spark.range(3), "lost")
         1 / 0  # noqa: B018
     assert not {n for n in set(os.listdir(shared)) - before if n.startswith("llm-")}
+
+
+def test_a_bitmap_splits_rows_and_loses_no_key(spark):
+    from ledgerwash.llm import bitmap
+    rows = spark.range(4000).selectExpr("IF(id % 40 = 0, NULL, id) AS a", "CAST(id % 3 AS STRING) AS b", "id AS _n")
+    keys = rows.where("_n % 9 = 0").select("a", "b").distinct()
+    told = {(r.a, r.b) for r in keys.collect()}
+    for most, spared in ((bitmap.MOST, 0.8), (0, 0.0)):
+        clear, touched = (part.collect() for part in bitmap.split(rows, keys, ["a", "b"], most or 1))
+        assert sorted(r["_n"] for r in [*clear, *touched]) == list(range(4000))
+        assert not any((r.a, r.b) in told for r in clear) and len(clear) >= spared * 4000 * 8 / 9
+    clear, touched = bitmap.split(rows, keys.limit(0), ["a", "b"])
+    assert clear.count() == 4000 and touched.count() == 0
+    # A full bitmap (more keys than bits) sends all rows the long way.
+    full = spark.range(600_000).selectExpr("id AS a", "'x' AS b")
+    clear, touched = bitmap.split(rows, full, ["a", "b"], 1)
+    assert clear.count() == 0 and touched.count() == 4000
+
+
+def test_only_rows_that_may_go_are_shuffled(spark, tmp_path):
+    from ledgerwash.llm import bitmap, simhash
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(12))) for i in range(300)] + [(900, " ".join(f"w7x{j}" for j in range(12)))]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == list(range(300))
+    clear, touched = bitmap.split(docs, docs.where("doc_id = 900").select("doc_id"), ["doc_id"])
+    assert 1 <= touched.count() <= 3 and clear.count() + touched.count() == 301
+    # The wide side of the join (above the broadcast one in the plan) passes no exchange.
+    wide = clear._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+    assert "BroadcastHashJoin" in wide and "Exchange" not in wide
