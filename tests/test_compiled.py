@@ -1,0 +1,79 @@
+"""What the whole table's cost rests on: rules that the JVM compiles, and tasks that grow with the input."""
+import datetime
+import re
+
+from pyspark.sql import functions as F
+
+from helpers import one_col
+from ledgerwash.functions import dates, text
+from ledgerwash.operators.cleaning import clean_transactions
+from ledgerwash.sources import fixtures
+from ledgerwash.sources.schema import DATE_BRANCHES, MERCHANT_VARIANTS
+
+
+def _tables(spark, folder, rows):
+    day = F.timestamp_add("DAY", F.col("id").cast("int") % 700, F.lit("2022-03-01").cast("timestamp_ntz"))
+    ids = spark.range(rows)
+    ids.select(F.col("id").alias("l_orderkey"), (F.col("id") % 200 + 1).alias("l_partkey"), (F.col("id") % 10 + 1).alias("l_suppkey"),
+               F.lit(1).alias("l_linenumber"), (F.col("id") + 0.25).alias("l_extendedprice")).write.parquet(f"{folder}/lineitem.parquet")
+    ids.select(F.col("id").alias("o_orderkey"), (F.col("id") % 40).alias("o_custkey"), day.alias("o_orderdate")).write.parquet(
+        f"{folder}/orders.parquet")
+    return str(folder)
+
+
+def test_rules_are_compiled(spark, tmp_path):
+    """The JVM leaves methods of more than 8000 bytes to its interpreter."""
+    clean = clean_transactions(fixtures.raw_transactions(spark, _tables(spark, tmp_path, 50)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = clean.select("*")._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    folder = _tables(spark, tmp_path, 4000)
+    raw = lambda: fixtures.raw_transactions(spark, folder)
+    whole = raw()
+    assert f"hashpartitioning(l_orderkey#0L, {spark.sparkContext.defaultParallelism})" in re.sub(
+        r"l_orderkey#\d+L", "l_orderkey#0L", whole._jdf.queryExecution().toString())
+    monkeypatch.setattr(fixtures, "TASK_BYTES", 500)
+    tasks = fixtures._tasks(spark, f"{folder}/lineitem.parquet")
+    assert tasks > 2 * spark.sparkContext.defaultParallelism
+    many = raw()
+    assert f", {tasks}), REPARTITION_BY_NUM" in many._jdf.queryExecution().toString()
+    assert sorted(many.collect(), key=str) == sorted(whole.collect(), key=str)
+
+
+def test_dates_as_the_formatters_read_them(spark):
+    days = ["0000", "0001", "1582", "2023", "2024", "9999"]
+    marks = ["00", "01", "02", "12", "13", "28", "29", "30", "31", "32", "99"]
+    texts = [sep.join(part) for sep in "-/" for y in days for a in marks for b in marks for part in ((y, a, b), (a, b, y))]
+    texts += [None, "", "Jan 05 2024", "Feb 30 2024", "jan 05 2024", "Foo 05 2024", "05 January, 2024", "05 January 2024", "31 June, 2023",
+              "29 February, 2024", "2024-1-5", " 2024-01-05", "2024-01-05\n", "2024/01-05", "٢٠٢٤-01-05"]
+
+    def plain(d):
+        out = None
+        for name, regex, sep, part, pattern, drop in DATE_BRANCHES:
+            fits = d.rlike(regex) if sep is None else d.rlike(regex) & (F.split_part(d, F.lit(sep), F.lit(part)).try_cast("int") > 12)
+            value = F.try_to_date(F.replace(d, F.lit(","), F.lit("")) if drop else d, pattern)
+            out = F.when(fits, value) if out is None else out.when(fits, value)
+        return out
+
+    got = one_col(spark, texts).withColumn("b", dates.date_branch("v")).select(
+        "v", dates.date_from_branch("v", "b").cast("string").alias("new"), plain(F.col("v")).cast("string").alias("old")).collect()
+    assert [r for r in got if r.new != r.old] == []
+    assert sum(r.new is not None for r in got) > 200
+    assert next(r.new for r in got if r.v == "2024/02/29") == str(datetime.date(2024, 2, 29))
+
+
+def test_merchants_by_look_up(spark):
+    known = [f" {s.upper()} " for spellings in MERCHANT_VARIANTS.values() for s in spellings]
+    got = one_col(spark, [*known, None, "", "Other "]).select(text.canonical_merchant("v").alias("m")).collect()
+    want = [name for name, spellings in MERCHANT_VARIANTS.items() for _ in spellings]
+    assert [r.m for r in got] == [*want, None, "", "Other "]
+    twice = {"A": ("x",), "B": ("x", "y")}
+    assert [r.m for r in one_col(spark, ["x", "y"]).select(text.canonical_merchant("v", twice).alias("m")).collect()] == ["A", "B"]
