@@ -1,8 +1,7 @@
 """Main text of web pages by wrapper inference.
 
-Pages of one host come from one template. A few pages of each host (one of each
-of the first ``PAGES`` hash classes, the shortest of each) are aligned one after another
-into a wrapper, a union-free regular expression over tokens: neighbouring groups
+Pages of one host come from one template. All pages of each host are aligned one after
+another into a wrapper, a union-free regular expression over tokens: neighbouring groups
 of the same tag fold into a repeated group; tags that only one side has become
 optional groups; texts that differ become slots. The wrapper tells which group
 holds the article: the deepest group that holds most of the slots' text once menus,
@@ -11,9 +10,12 @@ that hold equally much, and on a page that stands alone. Each page is then read
 its host's wrapper; a page that does not have the wrapper's group gets a wrapper of
 its own.
 
-Inference sees a bounded number of pages a host, so a host with a third of all
-pages is no larger a task than any other; the pages meet their wrapper in a join
-without a hint, which Spark may broadcast or split.
+Inference shuffles patterns of pages, with a digest for each text. Those of a host are
+dealt by the page's hash to groups of about ``FAN``, whose patterns merge, and so do the
+groups' in rounds, so a host with a third of all pages is spread over tasks like any other;
+copies of a page count once. A wrapper grows with the kinds of groups in its host's pages,
+not with their number. The pages meet their wrapper in a join without a hint, which Spark
+may broadcast or split.
 
 Text rules: character references are decoded, white space within a block becomes
 one space, empty blocks go, and blocks are joined by a line feed. Null and empty
@@ -26,6 +28,7 @@ ids are read row by row.
 from __future__ import annotations
 
 import functools
+import hashlib
 import html
 import json
 import re
@@ -35,14 +38,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerwash.llm.scratch import written
 from ledgerwash.llm.urlfilter import host_of
 
-PAGES = 5
+FAN = 256
 MOST = 0.6  # of the slots' text, that a group must hold to be the article's
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -347,20 +350,91 @@ def main_text(page: str, path: list[str] | None) -> str:
     return "\n".join(t for t in texts if t)
 
 
+def packed(wrapper: Group) -> str:
+    """A pattern as JSON, each group before those that it holds, however deep."""
+    out, left = [], [wrapper]
+    while left:
+        group = left.pop()
+        out.append([group.tag, sorted(group.names), group.text, group.size, group.optional, group.repeated, len(group.inner)])
+        left += group.inner[::-1]
+    return json.dumps(out)
+
+
+def unpacked(pattern: str) -> Group:
+    top, left = Group(""), []  # with each open group, how many it still lacks
+    for tag, names, text, size, optional, repeated, inner in json.loads(pattern):
+        group = Group(tag, frozenset(names), [], text, size, optional, repeated)
+        while left and not left[-1][1]:
+            left.pop()
+        if left:
+            left[-1][0].inner.append(group)
+            left[-1][1] -= 1
+        else:
+            top = group
+        left.append([group, inner])
+    return top
+
+
+@F.arrow_udf(T.StringType())
+def _pattern(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each page's own pattern. Its texts are only compared, so digests stand for them."""
+    def of(page: str) -> str:
+        pattern = folded(tree(page))
+        for group in _outwards(pattern):
+            if group.text is not None:
+                group.text = hashlib.blake2b(group.text.encode(), digest_size=16).hexdigest()
+        return packed(pattern)
+
+    for pages in batches:
+        yield pa.array([of(p.as_py()) for p in pages], pa.string())
+
+
+def _merged_groups(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by host and part, the patterns of each as one; ``n``: of how many pages."""
+    key, wrapper, n = None, None, 0
+    done: list[tuple] = []
+    for frame in frames:
+        for host, part, pattern, more in zip(frame["host"], frame["part"], frame["pattern"], frame["n"], strict=True):
+            new = unpacked(pattern)
+            if key == (host, part):
+                wrapper, n = merged(wrapper, new), n + more
+                continue
+            if key is not None:
+                done.append((*key, packed(wrapper), n))
+            key, wrapper, n = (host, part), new, more
+        yield pd.DataFrame(done, columns=["host", "part", "pattern", "n"])
+        done = []
+    if key is not None:
+        yield pd.DataFrame([(*key, packed(wrapper), n)], columns=["host", "part", "pattern", "n"])
+
+
+@F.arrow_udf(T.StringType())
+def _path(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for patterns, pages in batches:
+        yield pa.array([json.dumps(article_path(unpacked(p.as_py()), n.as_py() == 1))
+                        for p, n in zip(patterns, pages, strict=True)], pa.string())
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, path) for each host with a page that is small enough, from columns host
-    and page; path is JSON."""
-    some = pages.select("host", "page", F.xxhash64("page").alias("mark")).where(F.length("page") > 0)
-    # The shortest page of each of a few hash classes: copies fall in one class and are reduced before the shuffle.
-    each = some.groupBy("host", F.pmod("mark", F.lit(8 * PAGES)).alias("class")).agg(
-        F.min_by("page", F.struct(F.length("page"), "mark", "page")).alias("page"))
-    few = each.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("class"))).where(F.col("n") <= PAGES)
-
-    def learn(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = list(frame.sort_values("n")["page"])
-        return pd.DataFrame({"host": [key[0]], "path": [json.dumps(article_path(infer(ordered), len(ordered) == 1))]})
-
-    return written(few.groupBy("host").applyInPandas(learn, "host string, path string"), "wrappers")
+    """(host, path) for each host with a page that is not empty, from columns host
+    and page; path is JSON. Every page is seen."""
+    spark = pages.sparkSession
+    some = pages.where(F.length("page") > 0)
+    most = some.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    parts = -(-most // FAN)
+    # Copies are reduced before the shuffle.
+    rows = some.select("host", F.md5(F.col("page").cast("binary")).alias("mark"), _pattern("page").alias("pattern")).groupBy("host", "mark").agg(
+        F.min("pattern").alias("pattern")).select(
+        "host", F.pmod(F.xxhash64("mark"), F.lit(parts)).alias("part"), "mark", "pattern", F.lit(1).cast("long").alias("n"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        # By number: the work lies in the rows, and AQE would merge tasks by their few bytes.
+        rows = rows.repartition(tasks, "host", "part").sortWithinPartitions("host", "part", "mark").drop("mark").mapInPandas(
+            _merged_groups, "host string, part long, pattern string, n long")
+        if parts == 1:
+            return written(rows.select("host", _path("pattern", "n").alias("path")), "wrappers")
+        parts = -(-parts // FAN)
+        rows = rows.select("host", F.pmod("part", F.lit(parts)).alias("part"), F.col("part").alias("mark"), "pattern", "n")
 
 
 @F.arrow_udf(T.StringType())

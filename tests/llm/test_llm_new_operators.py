@@ -437,6 +437,29 @@ def test_a_host_of_long_pages_has_a_wrapper(spark):
     assert extract.wrappers(hosted).count() == 1
 
 
+def test_wrappers_come_from_all_pages_of_a_host(spark, monkeypatch):
+    """One long page of 300 tells that a group's text is not the same on all: no sample holds it for sure."""
+    import json
+
+    from ledgerwash.llm import extract
+    shared = "terms of use " * 20
+    pages = [(f"h{h}",
+              f"<html><body><x0><p>{shared if i else 'an article ' * 500}</p><h2>end</h2></x0><x1><p>number</p><h2>{i}</h2></x1></body></html>") for h in range(2) for i in range(300)]
+    hosted = spark.createDataFrame([*pages, *pages[:50], ("h2", pages[0][1]), ("h2", pages[0][1]), ("h3", ""), ("h3", None)], "host string, page string")
+    for fan in (extract.FAN, 1000, 7):
+        monkeypatch.setattr(extract, "FAN", fan)
+        got = {r.host: json.loads(r.path)[:3] for r in extract.wrappers(hosted).collect()}
+        assert got == {"h0": ["html", "body", "x0"], "h1": ["html", "body", "x0"], "h2": ["html", "body", "x0"]}
+
+
+def test_patterns_survive_packing_at_any_depth():
+    from ledgerwash.llm import extract
+    page = "<html><body><ul><li>a<li>b</ul><p class='x y'>t</p><p>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>end</body></html>"
+    wrapper = extract.infer([page, page.replace("<ul>", "<h1>new</h1><ul>")])
+    flat = lambda top: [(g.tag, g.names, g.text, g.size, g.optional, g.repeated, len(g.inner)) for g in extract._outwards(top)]
+    assert flat(extract.unpacked(extract.packed(wrapper))) == flat(wrapper) and len(flat(wrapper)) > 3000
+
+
 # op6
 
 def test_training_equals_a_plain_loop_over_coordinates(spark):
