@@ -8,6 +8,7 @@ from helpers import one_col
 from ledgerwash.functions import dates, text
 from ledgerwash.operators.cleaning import clean_transactions
 from ledgerwash.sources import fixtures
+from ledgerwash.sources.quarantine import load_checked, reasoned
 from ledgerwash.sources.schema import DATE_BRANCHES, MERCHANT_VARIANTS
 
 
@@ -34,6 +35,21 @@ def test_rules_are_compiled(spark, tmp_path):
     assert sizes and max(sizes) < 8000
 
 
+def test_reasons_are_compiled(spark, tmp_path):
+    """The projection that finds a line's reasons is part of the scan's compiled stage."""
+    (tmp_path / "a.csv").write_text("T1,C1,Ann,AC1,2024-01-02,7.50,NGN,debit,KFC,Food,completed,Lagos,note\n")
+    rows = reasoned(load_checked(spark, str(tmp_path / "a.csv"), "csv", header="false"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = rows._jdf.queryExecution().executedPlan()
+        code = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenString(plan)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    projections = [line.strip(" +-:") for line in plan.toString().split("\n") if "Project [" in line]
+    assert projections and all(line.startswith("*(1) ") for line in projections)
+    assert max(int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)) < 8000
+
+
 def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
     folder = _tables(spark, tmp_path, 4000)
     raw = lambda: fixtures.raw_transactions(spark, folder)
