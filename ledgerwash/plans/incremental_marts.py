@@ -77,7 +77,7 @@ def month_delta(fact: DataFrame) -> DataFrame:
 # -- the marts, from states ------------------------------------------------------------
 
 def category_summary(state: DataFrame) -> DataFrame:
-    """V2."""
+    """V2. Sums need no merged state: rows of equal keys add up here."""
     g = state.where("debit_n > 0").groupBy("category").agg(
         F.sum("debit_n").alias("transaction_count"), F.sum("debit").cast(SUM).alias("_sum"))
     return g.select("category", "transaction_count", F.round("_sum", 2).alias("total_spent_ngn"),
@@ -118,7 +118,7 @@ def merchant_summary(state: DataFrame) -> DataFrame:
 
 
 def baseline(state: DataFrame, min_history: int = 10) -> DataFrame:
-    """V6's sub-query, as ``views.view_baseline`` has it from rows."""
+    """V6's sub-query, as ``views.view_baseline`` has it from rows; of a state merged or not."""
     g = state.where("debit_n > 0").groupBy("customer_id").agg(
         F.sum("debit_n").alias("_n"), F.sum("debit").cast(SUM).alias("_sum"), F.sum("debit_squares").cast(SQUARES).alias("_squares"))
     return g.where(F.col("_n") >= min_history).select(
@@ -147,11 +147,14 @@ class IncrementalMarts:
         parts += [more] if more is not None else []
         return parts if buckets is None else [part.where(F.col(BUCKET).isin(buckets)) for part in parts]
 
-    def _state(self, name: str, version: Version, more: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
-        parts = self._parts(name, version, more, buckets)
+    def _deltas(self, name: str, version: Version, more: DataFrame | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table's rows of all batches, unmerged: what only adds up is taken from them
+        without the shuffle that merging costs."""
+        return reduce(DataFrame.unionByName, self._parts(name, version, more, buckets))
+
+    def _state(self, name: str, version: Version) -> DataFrame:
         key, state = {"by_customer": (CUSTOMER_KEY, CUSTOMER_STATE), "by_month": (MONTH_KEY, MONTH_STATE)}[name]
-        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        return _merged(rows, key, state)
+        return _merged(self._deltas(name, version), key, state)
 
     def apply(self, cleaned: DataFrame, run: str = "", batch: int = 0) -> Version:
         """Merge one batch of cleaned rows, whose ids no other batch has, and publish.
@@ -168,18 +171,19 @@ class IncrementalMarts:
         touched = delta.select(F.col("customer_id").alias("_touched")).distinct()
         # As many numbers as there are buckets, at most.
         buckets = sorted(r[0] for r in delta.select(BUCKET).distinct().collect())
-        mine = lambda df: df.join(touched, df["customer_id"].eqNullSafe(F.col("_touched")), "left_semi")
-        base = baseline(mine(self._state("by_customer", version, delta, buckets)), self.min_history)
-        whole = reduce(DataFrame.unionByName, self._parts("fact", version, fresh, buckets))
-        flags = self._judged(mine(whole), base).groupBy("customer_id").agg(
+        # The customers of the batch with their baselines, if they have one: one join finds both for the facts.
+        base = baseline(self._deltas("by_customer", version, delta, buckets), self.min_history)
+        mine = touched.join(base, F.col("_touched") == base["customer_id"], "left").drop("customer_id")
+        whole = self._deltas("fact", version, fresh, buckets)
+        judged = self._scored(whole.join(mine, F.col("customer_id").eqNullSafe(F.col("_touched"))))
+        flags = judged.groupBy("customer_id").agg(
             F.count_if(V.flagged_condition(self.k)).alias("flagged")).withColumn("version", F.lit(version.number + 1).cast("bigint"))
         new |= publication.write({"flags": flags})
         return publication.commit(version, appended=new, notes={"buckets": self.buckets, "batches": done | {run: batch}})
 
     @staticmethod
-    def _judged(fact: DataFrame, base: DataFrame) -> DataFrame:
-        score = V.sigma(F.col("amount"), F.col("avg_spend"), F.col("stddev_spend"))
-        return fact.join(base, "customer_id", "left").withColumn("_sigma", score)
+    def _scored(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_sigma", V.sigma(F.col("amount"), F.col("avg_spend"), F.col("stddev_spend")))
 
     def compact(self, most: int = 24) -> Version:
         """Rewrite tables of more than ``most`` segments as one."""
@@ -200,12 +204,12 @@ class IncrementalMarts:
     def marts(self, customers: DataFrame, number: int | None = None) -> dict[str, DataFrame]:
         """V2-V6 and K1 of a version, all from the same one."""
         version = self.publication.version(number)
-        state = self._state("by_customer", version)
+        state, deltas = self._state("by_customer", version), self._deltas("by_customer", version)
         fact = self.publication.read("fact", version.number)
-        flagged = self._judged(fact, baseline(state, self.min_history)).where(V.flagged_condition(self.k))
-        totals = state.agg(
+        flagged = self._scored(fact.join(baseline(deltas, self.min_history), "customer_id", "left")).where(V.flagged_condition(self.k))
+        totals = deltas.agg(
             F.sum("n").alias("total_transactions"), F.sum("debit").cast(SUM).alias("_debit"), F.sum("debit_n").alias("_debit_n"))
-        amounts = self._state("by_month", version).agg(F.sum("amount").cast(SUM).alias("_sum"))
+        amounts = self._deltas("by_month", version).agg(F.sum("amount").cast(SUM).alias("_sum"))
         flags = self._flags(version).agg(F.sum("flagged").alias("flagged_transactions"))
         row = totals.unionByName(amounts, allowMissingColumns=True).unionByName(flags, allowMissingColumns=True)
         row = row.agg(*(F.max(c).alias(c) for c in row.columns))  # three rows of one value each
@@ -215,7 +219,7 @@ class IncrementalMarts:
             ratio2("_sum", "total_transactions").alias("avg_transaction_ngn"),
             F.coalesce("flagged_transactions", F.lit(0)).alias("flagged_transactions"))
         return {
-            "vw_category_summary": category_summary(state),
+            "vw_category_summary": category_summary(deltas),
             "vw_monthly_summary": monthly_summary(self._state("by_month", version)),
             "vw_customer_summary": customer_summary(state, customers),
             "vw_merchant_summary": merchant_summary(state),

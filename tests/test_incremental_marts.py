@@ -110,6 +110,17 @@ def test_a_batch_reads_the_buckets_of_its_customers_only(spark, tables, clean, m
         assert rows == part.count() < all_rows / 8 and folders <= 2 < all_folders, name
 
 
+def test_sums_take_no_shuffle_of_the_states(spark, tables, clean, marts):
+    """What only adds up over batches crosses no exchange by the states' key, nor facts one by another than the join's."""
+    for batch in range(2):
+        marts.apply(clean.where(F.pmod("k", F.lit(2)) == batch), "r", batch)
+    found = marts.marts(tables.customers)
+    keyed = lambda name: [line for line in found[name]._jdf.queryExecution().executedPlan().toString().split("\n")
+                          if "Exchange hashpartitioning(customer_id" in line and "merchant_name" in line.split("ENSURE")[0]]
+    assert keyed("vw_merchant_summary")  # its distinct customers need them
+    assert not any(keyed(name) for name in ("vw_category_summary", "vw_flagged_transactions", "kpi_summary"))
+
+
 def test_batches_without_rows_between_others(spark, tables, clean, marts):
     marts.apply(clean.where("k % 2 = 0"), "r", 0)
     marts.apply(clean.limit(0), "r", 1)
