@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from ..functions import amounts, flags
 from ..functions.money import avg2
 from ..sources.schema import REVERSED, TRANSACTION_LENGTH_LIMITS
+from ..sources.scratch import beside
 from ..sources.sinks import write_clean_fact
-from .cleaning import clean_transactions
+from .cleaning import clean_transactions, cleaned_rows
 
 COPIES = "_copies"
 _LONG = "_long_"
@@ -78,9 +79,10 @@ def watched(rows: DataFrame, observation: Observation, null_notes: str = "sql")
 
 def write_profiled(raw: DataFrame, path: str, *, null_notes: str = "sql", on_error: str = "fail", mode: str = "overwrite") -> dict[str, Any]:
     """Clean ``raw``, write the fact (``sinks.write_clean_fact``) and return its metrics:
-    one job, one scan."""
+    one scan of ``raw``."""
     seen = Observation("profile")
-    write_clean_fact(tallied(raw, null_notes, on_error), path, mode, watch=lambda df: watched(df, seen, null_notes))
+    with cleaned_rows(raw, beside(path), null_notes=null_notes, on_error=on_error, tally=tally()) as rows:
+        write_clean_fact(rows, path, mode, watch=lambda df: watched(df, seen, null_notes))
     return seen.get
 
 
