@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import shuffles_released
+
 MONTH = "year_month"
 DATE = "transaction_date_clean"
 #: Rows without a date live in this folder.
@@ -41,7 +43,8 @@ def write_clustered(fact: DataFrame, path: str, *, date_col: str = DATE, cluster
     for column in bloom:
         out = out.option(f"parquet.bloom.filter.enabled#{column}", "true").option(
             f"parquet.bloom.filter.expected.ndv#{column}", str(expected_ids))
-    out.parquet(path)
+    with shuffles_released(fact.sparkSession):
+        out.parquet(path)
 
 
 def read_clustered(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from ledgerwash.plans.registry import REGISTRY
 from ledgerwash.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
-WRITERS = ["a10_write_and_read_clean_fact", "a8_views_by_name", "d_profile_one_pass"]
+WRITERS = ["a10_write_and_read_clean_fact", "a8_views_by_name", "d_profile_one_pass", "v1_quarter_from_clustered_fact"]
 
 
 def shuffle_files(spark):
