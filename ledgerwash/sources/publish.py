@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .scratch import shuffles_released
 from .sinks import write_marts
 
 DIGITS = 12
@@ -101,7 +102,8 @@ class Publication:
         write_marts({n: df for n, df in tables.items() if n not in by}, f"{self.root}/{snapshot}", mode="error", by_month=by_month)
         for name, column in by.items():
             folder = f"{snapshot}/{name}"
-            tables[name].write.partitionBy(column).parquet(f"{self.root}/{folder}")
+            with shuffles_released(self.spark):
+                tables[name].write.partitionBy(column).parquet(f"{self.root}/{folder}")
             if not any(s.isDirectory() for s in self._fs.listStatus(self._path(folder))):
                 # No rows, no folders, and no file that tells the columns: write one.
                 self.spark.createDataFrame([], tables[name].schema).write.mode("overwrite").parquet(f"{self.root}/{folder}")

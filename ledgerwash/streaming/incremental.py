@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.incremental_marts import IncrementalMarts
-from ..operators.cleaning import DEFAULT_DEDUP_ORDER, clean_transactions
+from ..operators.cleaning import DEFAULT_DEDUP_ORDER, cleaned_rows
 from .seen_index import SeenIndex
 from ..sources.raw import PLACE, with_arrival
 from ..sources.publish import Publication
 from ..sources.schema import RAW_TRANSACTIONS_SCHEMA
+from ..sources.scratch import beside, shuffles_released
 
 BATCH_COLUMN = "batch_id"
 RUN_COLUMN = "run_id"
@@ -61,14 +62,15 @@ def clean_batch(batch: DataFrame, batch_id: int, output_path: str, run: str, *,
     """Clean one micro-batch and write it as partition ``run``, ``batch_id``; returns
     the rows that it added, read back."""
     spark = batch.sparkSession
-    fresh = clean_transactions(batch, null_notes=null_notes, on_error=on_error, dedup_order=dedup_order)
-    index = index_of(spark, output_path)
-    if index.empty() and (ids := _ids_before(spark, output_path, run, batch_id)) is not None:
-        index.add(ids, "earlier output", 0)
-    fresh = index.unseen(fresh, "transaction_id", run, batch_id)
-    out = fresh.withColumn(RUN_COLUMN, F.lit(run)).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("bigint"))
-    (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(RUN_COLUMN, BATCH_COLUMN).parquet(output_path))
+    index, folder = index_of(spark, output_path), beside(output_path)
+    with cleaned_rows(batch, folder, null_notes=null_notes, on_error=on_error, dedup_order=dedup_order) as rows:
+        if index.empty() and (ids := _ids_before(spark, output_path, run, batch_id)) is not None:
+            index.add(ids, "earlier output", 0)
+        fresh = index.unseen(rows, "transaction_id", run, batch_id, f"{folder}/lookup")
+        out = fresh.withColumn(RUN_COLUMN, F.lit(run)).withColumn(BATCH_COLUMN, F.lit(batch_id).cast("bigint"))
+        with shuffles_released(spark):
+            (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(RUN_COLUMN, BATCH_COLUMN).parquet(output_path))
     added = spark.read.schema(out.schema).parquet(output_path)
     added = added.where((F.col(RUN_COLUMN) == run) & (F.col(BATCH_COLUMN) == batch_id)).drop(RUN_COLUMN, BATCH_COLUMN)
     index.add(added.select("transaction_id"), run, batch_id)

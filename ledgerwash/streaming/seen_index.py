@@ -7,7 +7,9 @@ without all its bits set has not been seen. A lookup
 
 1. probes the bitmaps (4 KB each, of the buckets that the batch has ids in),
 2. reads the buckets that hold an id with all bits set, and no others,
-3. removes the ids that are really there, with a null-safe anti join.
+3. looks those ids up there and writes the ones found to a scratch folder: rows of
+   other ids (``operators.repeated``) take no part in the null-safe anti join that
+   removes them, so what is shuffled follows the copies and not the batch.
 
 So a batch of new ids reads bitmaps only, however long the history; a full filter
 costs more buckets, never a wrong answer. NULL is an id like any other.
@@ -19,10 +21,15 @@ before its own commit, and is not added twice.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.repeated import MARK, split
+from ..session import ensure_checkpoint_dir
 from ..sources.publish import Publication, Version
+from ..sources.scratch import shuffles_released, written
 
 PAGE = 32768  # bits of one bitmap row
 HASHES = 4
@@ -88,18 +95,26 @@ class SeenIndex:
     def _ids(self, version: Version, buckets: list[int]) -> DataFrame:
         return self.publication.read("ids", version.number).where(F.col("bucket").isin(buckets)).select("id")
 
-    def unseen(self, rows: DataFrame, id_col: str, run: str, batch: int) -> DataFrame:
-        """``rows`` without those whose id an earlier batch has. Runs one job over the
-        ids, for the list of buckets to read (as many numbers as there are buckets)."""
+    def unseen(self, rows: DataFrame, id_col: str, run: str, batch: int, folder: str | None = None) -> DataFrame:
+        """``rows`` without those whose id an earlier batch has. Runs jobs over the ids,
+        which write those found to ``folder`` (default: a new one in the shared folder);
+        the result reads them there."""
         version = self._before(run, batch)
         if "ids" not in version.tables:
             return rows
+        spark = rows.sparkSession
+        folder = folder or f"{ensure_checkpoint_dir(spark).rstrip('/')}/lookup-{uuid.uuid4().hex}"
         ids = rows.select(F.col(id_col).alias("id")).distinct()
-        buckets = sorted(r.bucket for r in self.maybe_seen(ids, version).select("bucket").distinct().collect())
+        maybe = written(self.maybe_seen(ids, version), f"{folder}/maybe")
+        with shuffles_released(spark):  # as many numbers as there are buckets, at most
+            buckets = sorted(r.bucket for r in maybe.select("bucket").distinct().collect())
         if not buckets:
             return rows
-        seen = self._ids(version, buckets).select(F.col("id").alias("_seen_id"))
-        return rows.join(seen, rows[id_col].eqNullSafe(F.col("_seen_id")), "left_anti")
+        wanted = maybe.select(F.col("id").alias("_wanted"))
+        seen = self._ids(version, buckets).join(wanted, F.col("id").eqNullSafe(F.col("_wanted")), "left_semi")
+        seen = written(seen.select(F.col("id").alias("_seen_id"), F.xxhash64("id").alias(MARK)), f"{folder}/seen")
+        fresh, again = split(rows, seen, id_col)
+        return fresh.unionByName(again.join(seen.drop(MARK), again[id_col].eqNullSafe(F.col("_seen_id")), "left_anti"))
 
     def compact(self, most: int = 24) -> Version:
         """Rewrite an index of more than ``most`` segments as one of each kind, and
