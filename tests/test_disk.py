@@ -11,7 +11,7 @@ from ledgerwash.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 WRITERS = ["a10_write_and_read_clean_fact", "a8_views_by_name", "d_profile_one_pass", "v1_quarter_from_clustered_fact",
-           "s01_incremental_clean"]
+           "s01_incremental_clean", "a3_load_raw_csv"]
 
 
 def shuffle_files(spark):
@@ -50,3 +50,13 @@ def test_only_rows_of_seen_ids_are_joined_to_the_index(spark):
     # Of the others only the bitmap's pages cross an exchange.
     assert set(re.findall(r"Exchange hashpartitioning\((\w+)#", once.rsplit("Join", 1)[0])) == {"_page"} and "_bits" in again
     assert sorted(r.n for r in fresh.collect()) == list(range(10, 3010))
+
+
+def test_raw_text_lands_compressed(spark):
+    base = ensure_checkpoint_dir(spark)
+    before = set(os.listdir(base))
+    result = REGISTRY["a3_load_raw_csv"](spark, SF)
+    landed, = (f for f in set(os.listdir(base)) - before if f.startswith("csv-"))
+    files = [f for f in os.listdir(f"{base}/{landed}") if f.startswith("part-")]
+    assert files and all(f.endswith(".csv.gz") for f in files)
+    assert result.count() == REGISTRY["clean_transactions"](spark, SF).count()
