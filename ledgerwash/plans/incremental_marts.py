@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.money import cents, ratio2, share_of_total, stddev_from
 from ..sources.publish import Publication, Version
 from ..sources.schema import CREDIT, DEBIT
+from ..sources.scratch import shuffles_released
 from . import views as V
 from .analysis import attach_customers
 
@@ -169,8 +170,8 @@ class IncrementalMarts:
         new |= publication.write({"by_customer": self._placed(customer_delta(fresh)), "by_month": month_delta(fresh)}, by=BUCKETED)
         delta = publication.spark.read.parquet(f"{publication.root}/{new['by_customer'][0]}")
         touched = delta.select(F.col("customer_id").alias("_touched")).distinct()
-        # As many numbers as there are buckets, at most.
-        buckets = sorted(r[0] for r in delta.select(BUCKET).distinct().collect())
+        with shuffles_released(publication.spark):  # as many numbers as there are buckets, at most
+            buckets = sorted(r[0] for r in delta.select(BUCKET).distinct().collect())
         # The customers of the batch with their baselines, if they have one: one join finds both for the facts.
         base = baseline(self._deltas("by_customer", version, delta, buckets), self.min_history)
         mine = touched.join(base, F.col("_touched") == base["customer_id"], "left").drop("customer_id")

@@ -11,7 +11,7 @@ from ledgerwash.session import ensure_checkpoint_dir
 
 SF = "/root/testdata/sf0.001"
 WRITERS = ["a10_write_and_read_clean_fact", "a8_views_by_name", "d_profile_one_pass", "v1_quarter_from_clustered_fact",
-           "s01_incremental_clean", "a3_load_raw_csv"]
+           "s01_incremental_clean", "a3_load_raw_csv", "v_incremental_marts"]
 
 
 def shuffle_files(spark):
